@@ -11,9 +11,10 @@ all singleton counts and a new reject set.  If R is right for the first n
 records the new set is right for n + 1, so the iteration ends, at exactly the
 answer of a record-by-record pass; it rarely takes more than a few rounds.
 
-Only cells first held by a possibly rejected record (the *cover*) can change
-between rounds.  They are gathered once, in one more pass over the sequences
-that combines on the map side, and rounds then run on that small table.
+Only cells a possibly rejected record (the *cover*) touches before all others
+can change between rounds.  One more pass over the sequences gathers who touches
+them, combined on the map side; cells with the same holders are then merged, and
+rounds run on what is left.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from pyspark.sql import functions as F
 
 from seqthin.config import ReduceConfig
 from seqthin.operators.kmers import count_won_kmers, explode_cells
+from seqthin.operators.signatures import Scheme
 from seqthin.sources.order import ROWS_PER_CHUNK, chunked, running_totals
 from seqthin.workspace import Workspace
 
 KEY = ["shard", "ord"]
-COVER_MARGIN_SD = 1.0
+BROADCAST_CELLS = 2_000_000
 BEFORE_ALL = -(2**63)
 
 
@@ -45,7 +47,6 @@ class History:
 class Admission:
     rejects: DataFrame  # shard, ord
     scored: DataFrame  # shard, ord, n_singleton, n_prior, mean, deviation, reject
-    new_cells: DataFrame  # shard, cell: touched first by an admitted record of this run
     rounds: int
 
 
@@ -104,6 +105,16 @@ def _count_singletons(won: DataFrame, passing: DataFrame, cfg: ReduceConfig) ->
     return count_won_kmers(passing.select(*KEY, "seq").join(lists, KEY), cfg)
 
 
+def _shares_band(profile: DataFrame, some: DataFrame, cfg: ReduceConfig) -> DataFrame:
+    """Records that agree with one of ``some`` on a band of sketch slots."""
+    scheme = Scheme.of(cfg.sketch, cfg.bands, cfg.sketch)
+    toks = profile.where("sketch IS NOT NULL").select(
+        *KEY, F.explode(scheme.keys(F.col("sketch"), [F.col("shard")])).alias("key")
+    )
+    wanted = toks.join(some, KEY, "left_semi").select("key").distinct()
+    return toks.join(wanted, "key", "left_semi").select(*KEY)
+
+
 def admit(
     quality: DataFrame,
     profile: DataFrame,
@@ -113,8 +124,10 @@ def admit(
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> Admission:
     """Run the admission fixpoint over the records that pass the gate."""
-    passing = quality.where("complete").select(*KEY, "seq")
-    first = ws.table(first_holders(passing, cfg, history), "first-holders")
+    passing = quality.select(*KEY, "seq", "complete")
+    first = first_holders(passing, cfg, history)
+    if cfg.frequency != "exact":
+        first = ws.table(first, "first-holders")  # no larger than the sketch
     won = first.where(F.col("ord") != BEFORE_ALL) if history is not None else first
     base = (
         profile.where("complete AND n_kmers > 0")
@@ -124,16 +137,14 @@ def admit(
     )
     base = chunked(base, ws, KEY, rows_per_chunk)
     scored = outlier_test(base, cfg, history)
-
-    spread = cfg.but(outlier_sd=max(0.0, cfg.outlier_sd - COVER_MARGIN_SD))
     rejects = ws.table(scored.where("reject").select(*KEY), "rejects")
-    n_rejects, rounds = rejects.count(), 1
-    if n_rejects == 0:
-        return Admission(rejects, scored, won.select("shard", "cell"), rounds)
+    if rejects.isEmpty():
+        return Admission(rejects, scored, 1)
 
-    near = outlier_test(base, spread, history).where("reject").select(*KEY)
-    cover = ws.table(near.unionByName(rejects).distinct(), "cover")
-    view = _Disputed(first, passing, base, cover, cfg, ws)
+    # Copies of a rejected record become singleton-rich once it holds nothing.
+    cover = ws.table(rejects.unionByName(_shares_band(profile, rejects, cfg)).distinct(), "cover")
+    view = _Disputed(first, passing, base, cover, cfg, ws, history)
+    rounds = 1
     while True:
         rounds += 1
         scored = outlier_test(view.counts(rejects), cfg, history)
@@ -149,70 +160,138 @@ def admit(
             .first()
         )
         if change["moved"] == 0:
-            return Admission(rejects, scored, view.held_cells(rejects), rounds)
+            return Admission(rejects, scored, rounds)
         if change["escaped"]:
-            cover = ws.table(cover.unionByName(latest).distinct(), "cover")
-            view = _Disputed(first, passing, base, cover, cfg, ws)
+            wider = cover.unionByName(latest).unionByName(_shares_band(profile, latest, cfg))
+            cover = ws.table(wider.distinct(), "cover")
+            view = _Disputed(first, passing, base, cover, cfg, ws, history)
         rejects = latest
 
 
 class _Disputed:
-    """Cells whose first holder is in the cover, and who could hold them instead."""
+    """Cells a cover record touches before every record outside the cover.
 
-    def __init__(self, first, passing, base, cover, cfg, ws):
-        self.cfg, self.first, self.cover = cfg, first, cover
-        self.cells = ws.table(first.join(cover, KEY, "left_semi"), "disputed")
+    ``holders`` has, per such cell, the cover records that touch it and the
+    first other one; later records can never hold the cell first.
+    """
+
+    def __init__(self, first, passing, base, cover, cfg, ws, history):
+        self.cfg, self.cover = cfg, cover
+        cell = ["shard", "cell"] if cfg.shards > 1 else ["cell"]
         member = cover.select(*KEY, F.lit(True).alias("member"))
-        # Records outside the cover are never rejected, so of them only the first matters.
-        self.holders = ws.table(
-            explode_cells(passing, cfg, KEY)
-            .join(self.cells.select("shard", "cell"), ["shard", "cell"], "left_semi")
-            .join(member, KEY, "left")
-            .groupBy("shard", "cell", F.when(F.col("member"), F.col("ord")).alias("cover_ord"))
-            .agg(F.min("ord").alias("ord"))
-            .select("shard", "cell", "ord"),
-            "holders",
+        touches = explode_cells(passing, cfg, KEY).join(member, KEY, "left").withColumn(
+            "cover_ord", F.when(F.col("member"), F.col("ord"))
         )
-        # All cells a cover record holds first are disputed; its count starts from zero.
-        self.base = base.join(member, KEY, "left").select(
-            *KEY, "chunk", F.when(F.col("member"), 0).otherwise(F.col("n_singleton")).alias("n_singleton")
+        if history is not None:
+            seen = history.cells.select("shard", F.lit(BEFORE_ALL).alias("ord"), "cell")
+            touches = touches.unionByName(seen, allowMissingColumns=True)
+        mine = ws.table(
+            explode_cells(ws.table(passing.join(cover, KEY, "left_semi"), "cover-sequences"), cfg, KEY)
+            .select("shard", "cell").distinct(),
+            "cover-cells",
+        )
+        small = mine.count() <= BROADCAST_CELLS
+        if small:
+            touches = touches.join(F.broadcast(mine.select(*cell)), cell, "left_semi")
+        # Records outside the cover are never rejected, so of them only the first matters.
+        who = touches.groupBy("shard", "cell", "cover_ord").agg(F.min("ord").alias("ord"))
+        if not small:
+            who = who.join(mine, ["shard", "cell"], "left_semi")
+        who = ws.table(who, "holders")
+        cells = ws.table(_disputed_cells(who, merge=cfg.frequency == "exact"), "disputed")
+        before = who.where("cover_ord IS NOT NULL").join(cells, ["shard", "cell"])
+        self.holders = (
+            before.where("clear IS NULL OR ord < clear").select("shard", "cell", "cells", "ord")
+            .unionByName(
+                cells.where("clear IS NOT NULL")
+                .select("shard", "cell", "cells", F.col("clear").alias("ord"))
+            )
         )
+        self.holders = ws.table(self.holders, "contenders")
         if cfg.frequency != "exact":
             suspects = self.holders.select(*KEY).distinct()
             self.sequences = ws.table(passing.join(suspects, KEY, "left_semi"), "suspects")
             self.undisputed = ws.table(
                 first.join(suspects, KEY, "left_semi").join(cover, KEY, "left_anti"), "undisputed"
             )
-
-    def _first(self, rejects: DataFrame) -> DataFrame:
-        """First holder of each disputed cell outside the reject set."""
-        kept = self.holders.join(rejects, KEY, "left_anti")
-        return kept.groupBy("shard", "cell").agg(F.min("ord").alias("ord"))
+        # All cells a cover record holds first are disputed; its count starts from zero.
+        self.base = base.join(member, KEY, "left").select(
+            *KEY, "chunk", F.when(F.col("member"), 0).otherwise(F.col("n_singleton")).alias("n_singleton")
+        )
 
     def counts(self, rejects: DataFrame) -> DataFrame:
         """Singletons of every record if exactly ``rejects`` are rejected."""
-        first = self._first(rejects)
+        cell = ["shard", "cell"]
+        first = (
+            self.holders.join(rejects, KEY, "left_anti")
+            .groupBy(*cell, "cells")
+            .agg(F.min("ord").alias("ord"))
+        )
         unseen = (
             self.holders.join(rejects, KEY, "left_semi")
-            .join(first.withColumnRenamed("ord", "first"), ["shard", "cell"], "left")
+            .join(first.select(*cell, F.col("ord").alias("first")), cell, "left")
             .where("first IS NULL OR first > ord")
-            .select("shard", "cell", "ord")
+            .select(*first.columns)
         )
         won = first.unionByName(unseen)
         if self.cfg.frequency == "exact":
-            extra = _count_singletons(won, None, self.cfg)
+            extra = won.groupBy(*KEY).agg(F.sum("cells").alias("extra"))
             total = F.col("n_singleton") + F.coalesce("extra", F.lit(0))
         else:
-            touched = won.select(*KEY).distinct()
-            own = self.undisputed.join(touched, KEY, "left_semi").unionByName(won)
-            extra = _count_singletons(own, self.sequences, self.cfg)
+            won = won.select(*cell, "ord")
+            own = self.undisputed.join(won.select(*KEY).distinct(), KEY, "left_semi")
+            extra = _count_singletons(own.unionByName(won), self.sequences, self.cfg)
+            extra = extra.withColumnRenamed("n_singleton", "extra")
             total = F.coalesce("extra", "n_singleton")
-        extra = extra.withColumnRenamed("n_singleton", "extra")
         return self.base.join(extra, KEY, "left").select(
             *KEY, "chunk", total.cast("bigint").alias("n_singleton")
         )
 
-    def held_cells(self, rejects: DataFrame) -> DataFrame:
-        """Cells touched by at least one admitted record."""
-        steady = self.first.where(F.col("ord") != BEFORE_ALL).join(self.cover, KEY, "left_anti")
-        return steady.select("shard", "cell").unionByName(self._first(rejects).select("shard", "cell"))
+
+def _disputed_cells(who: DataFrame, merge: bool) -> DataFrame:
+    """(shard, cell, clear, cells): cells a cover record touches before ``clear``.
+
+    With ``merge``, one cell stands for all ``cells`` that have the same
+    contenders, told by count, minimum and a 128-bit fingerprint of the set.
+    """
+    per_cell = (
+        who.groupBy("shard", "cell")
+        .agg(
+            F.min(F.when(F.col("cover_ord").isNull(), F.col("ord"))).alias("clear"),
+            F.min("cover_ord").alias("lowest"),
+            F.count("cover_ord").alias("n"),
+            F.bit_xor(F.xxhash64("cover_ord")).alias("print_a"),
+            F.bit_xor(F.xxhash64(F.lit(1), "cover_ord")).alias("print_b"),
+        )
+        .where("lowest IS NOT NULL AND (clear IS NULL OR lowest < clear)")
+    )
+    if not merge:
+        return per_cell.select("shard", "cell", "clear", F.lit(1).cast("bigint").alias("cells"))
+    alike = per_cell.groupBy("shard", "clear", "lowest", "n", "print_a", "print_b")
+    merged = alike.agg(F.min("cell").alias("cell"), F.count("*").alias("cells"))
+    return merged.select("shard", "cell", "clear", "cells")
+
+
+def new_cells(
+    passing: DataFrame, admission: Admission, cfg: ReduceConfig, history: History
+) -> DataFrame:
+    """(shard, cell) touched by admitted records and by none before them."""
+    kept = passing.join(admission.rejects, KEY, "left_anti")
+    cells = explode_cells(kept, cfg, KEY).select("shard", "cell").distinct()
+    return cells.join(history.cells, ["shard", "cell"], "left_anti")
+
+
+def next_sums(admission: Admission, history: History) -> DataFrame:
+    """Running sums per shard after this batch."""
+    n = F.col("n_singleton")
+    batch = admission.scored.select(
+        "shard",
+        F.lit(1).cast("bigint").alias("n"),
+        n.alias("s"),
+        (n * n).cast("decimal(38,0)").alias("q"),
+    )
+    return (
+        history.sums.unionByName(batch)
+        .groupBy("shard")
+        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").cast("decimal(38,0)").alias("q"))
+    )

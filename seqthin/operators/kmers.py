@@ -22,6 +22,16 @@ def _kmer_blocks(batch: pa.RecordBatch, k: int, cap: int | None):
         yield lo, hi, rec, kmer
 
 
+def _sequences(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns and sequence; what fails the gate is blanked before it reaches Python.
+
+    A filter would be pushed below the projections that build the sequence and
+    repeat their work; a blank costs one empty row.
+    """
+    seq = F.when(F.col("complete"), F.col("seq")) if "complete" in df.columns else F.col("seq")
+    return df.select(*keep, seq.alias("seq"))
+
+
 def explode_kmers(df: DataFrame, cfg: ReduceConfig, keep: list[str]) -> DataFrame:
     """One row per record and distinct canonical k-mer: ``keep`` columns and ``kmer``."""
     k, cap = cfg.k, cfg.kmer_cap
@@ -35,7 +45,7 @@ def explode_kmers(df: DataFrame, cfg: ReduceConfig, keep: list[str]) -> DataFram
                     names=[*keep, "kmer"],
                 )
 
-    kept = df.select(*keep, "seq")
+    kept = _sequences(df, keep)
     schema = T.StructType([kept.schema[c] for c in keep] + [T.StructField("kmer", T.LongType())])
     return kept.mapInArrow(rows, schema)
 
@@ -60,7 +70,7 @@ def explode_cells(df: DataFrame, cfg: ReduceConfig, keep: list[str]) -> DataFram
                         [*columns, pa.array(cells.view(np.int64))], names=[*keep, "cell"]
                     )
 
-    kept = df.select(*keep, "seq")
+    kept = _sequences(df, keep)
     schema = T.StructType([kept.schema[c] for c in keep] + [T.StructField("cell", T.LongType())])
     return kept.mapInArrow(rows, schema)
 
@@ -69,7 +79,6 @@ def profiles(quality: DataFrame, cfg: ReduceConfig) -> DataFrame:
     """Everything later steps need of a record but its sequence.
 
     Adds ``n_kmers`` and the MinHash ``sketch`` (null without k-mers).
-    Sequences that fail the gate are blanked before they reach Python.
     """
     keep = ["shard", "ord", "header", "mbucket", "len", "n_frac", "complete"]
     k, cap, m = cfg.k, cfg.kmer_cap, cfg.sketch
@@ -91,7 +100,7 @@ def profiles(quality: DataFrame, cfg: ReduceConfig) -> DataFrame:
                     names=[*keep, "n_kmers", "sketch"],
                 )
 
-    source = quality.withColumn("seq", F.when(F.col("complete"), F.col("seq"))).select(*keep, "seq")
+    source = _sequences(quality, keep)
     schema = T.StructType(
         [source.schema[c] for c in keep]
         + [

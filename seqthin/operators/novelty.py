@@ -90,7 +90,7 @@ def _keep_first(nodes, scheme, partition, ws, key_limit) -> DataFrame:
     out = left.join(dropped, "ord", "left_anti")
     for chosen in kept:
         out = out.unionByName(chosen)
-    return ws.table(out, "kept")
+    return out
 
 
 def _head_round(nodes, toks, scheme, shared, ws, key_limit, heads):

@@ -97,13 +97,13 @@ def rarest(toks: DataFrame, crowded: DataFrame, scheme: Scheme) -> DataFrame:
 def meeting_keys(
     sketches: DataFrame, scheme: Scheme, partition: list[str], ws: Workspace, limit: int
 ) -> tuple[DataFrame, bool, bool]:
-    """Written tokens; whether they were prefix filtered; whether crowded keys remain."""
-    toks = ws.table(tokens(sketches, scheme, partition), "tokens")
+    """Tokens; whether they were prefix filtered; whether crowded keys remain."""
+    toks = tokens(sketches, scheme, partition)
     crowded = ws.table(crowded_keys(toks, limit), "crowded")
     if crowded.isEmpty():
         return toks, False, False
     if scheme.prefix == scheme.groups:
-        return toks, False, True
+        return ws.table(toks, "tokens"), False, True
     toks = ws.table(rarest(toks, crowded, scheme), "tokens")
     return toks, True, not crowded_keys(toks, limit).isEmpty()
 

@@ -9,12 +9,18 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def from_table(df: DataFrame, order: Column, header: Column, seq: Column) -> DataFrame:
-    """Any table as records; ``order`` is a unique BIGINT that fixes the record order."""
+    """Any table as records; ``order`` is a unique BIGINT, ``seq`` uppercase."""
     return df.select(
-        order.cast("bigint").alias("ord"), header.alias("header"), F.upper(seq).alias("seq")
+        order.cast("bigint").alias("ord"), header.alias("header"), seq.alias("seq")
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Split an input of few partitions over all cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def letters_to_bases(text: Column) -> Column:
     """Map prose to the nucleotide alphabet.
 
@@ -22,9 +28,9 @@ def letters_to_bases(text: Column) -> Column:
     modulo four, and every other character becomes N.
     """
     bases = "".join("ACGT"[i % 4] for i in range(26))
-    dense = F.regexp_replace(text, r"[ \t\r\n]+", "")
-    only_letters = F.regexp_replace(dense, "[^a-zA-Z]", "-")
-    return F.translate(only_letters, LETTERS + LETTERS.upper() + "-", bases * 2 + "N")
+    # Characters without a counterpart (the trailing white space) are deleted.
+    mapped = F.translate(text, LETTERS + LETTERS.upper() + " \t\r\n", bases * 2)
+    return F.regexp_replace(mapped, "[^ACGT]", "N")
 
 
 def document_sequences(documents: DataFrame) -> DataFrame:
