@@ -15,8 +15,6 @@ def with_quality(records: DataFrame, cfg: ReduceConfig) -> DataFrame:
     """Add length, ambiguous fraction, month and the verdict of the gate."""
     if "shard" not in records.columns:
         records = records.withColumn("shard", F.lit(0))
-    if cfg.limit:
-        records = records.where(F.col("ord") <= cfg.limit)
     return records.select(
         "shard",
         "ord",

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,6 +146,33 @@ def count_won_kmers(won: DataFrame, cfg: ReduceConfig) -> DataFrame:
     return kept.mapInArrow(rows, schema)
 
 
+def rare_kmers(kmers: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(shard, ord, n_rare): k-mers held by at most ``cutoff`` earlier admitted records.
+
+    ``verdicts`` has (shard, ord, decision, cutoff).  Only the first few holders of a
+    k-mer can find it rare, so a window keeps those and nothing else is ranked.
+    """
+    top = verdicts.agg(F.max("cutoff")).first()[0] or 0
+    touch = kmers.join(verdicts.select("shard", "ord", "decision", "cutoff"), ["shard", "ord"])
+    rank = F.row_number().over(Window.partitionBy("shard", "kmer").orderBy("ord"))
+    early = (
+        touch.where("decision = 'ADMIT'").withColumn("rank", rank).where(F.col("rank") <= top + 1)
+    )
+    admitted = early.where(F.col("rank") - 1 <= F.col("cutoff")).select("shard", "ord", "kmer")
+    earlier = early.select("shard", "kmer", F.col("ord").alias("holder"))
+    rejected = (
+        touch.where("decision = 'REJECT'")
+        .join(earlier, ["shard", "kmer"], "left")
+        .groupBy("shard", "ord", "kmer", "cutoff")
+        .agg(F.count_if(F.col("holder") < F.col("ord")).alias("before"))
+        .where("before <= cutoff")
+        .select("shard", "ord", "kmer")
+    )
+    found = admitted.unionByName(rejected).groupBy("shard", "ord").agg(F.count("*").alias("n_rare"))
+    scored = verdicts.where("decision IN ('ADMIT', 'REJECT')").select("shard", "ord")
+    return scored.join(found, ["shard", "ord"], "left").fillna(0, ["n_rare"])
+
+
 def document_frequency(kmers: DataFrame) -> DataFrame:
     """In how many records each k-mer occurs (``kmers`` is distinct per record)."""
     return kmers.groupBy("shard", "kmer").agg(F.count("*").alias("df"))
@@ -160,6 +187,31 @@ def count_min_counters(kmers: DataFrame, cfg: ReduceConfig) -> DataFrame:
     )
 
 
+def mixed(value, seed: int):
+    """Seeded 64-bit finaliser of a BIGINT bit pattern."""
+
+    @F.arrow_udf("bigint")
+    def mix(codes: pa.Array) -> pa.Array:
+        return pa.array(kernels.mix64(codes.to_numpy(False).view(np.uint64), seed).view(np.int64))
+
+    return mix(value)
+
+
+def band_key_list(month, sketch, bands: int):
+    """Band keys of a sketch, with its month folded in."""
+
+    @F.arrow_udf("array<bigint>")
+    def keys(months: pa.Array, sketches: pa.Array) -> pa.Array:
+        n = len(sketches)
+        slots = sketches.flatten().to_numpy(False).view(np.uint64).reshape(n, -1)
+        out = kernels.band_keys(months.to_numpy(False), slots, bands)
+        return pa.ListArray.from_arrays(
+            pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(out.reshape(-1).view(np.int64))
+        )
+
+    return keys(month, sketch)
+
+
 def cell_numbers(kmer, cfg: ReduceConfig):
     """The four flat Count-Min cell numbers of a k-mer code."""
     width = cfg.cms_log2_width
