@@ -37,7 +37,8 @@ def write_fasta(records: DataFrame, path: str, by_shard: bool = False) -> None:
 
 
 def four_places(x: Column) -> Column:
-    return F.format_string("%.4f", x)
+    """A ratio with four decimals, rounded from its exact binary value."""
+    return F.format_number(x, 4)
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:

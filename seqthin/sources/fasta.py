@@ -72,19 +72,22 @@ def read_fasta(
 
 
 def stream_fasta(spark: SparkSession, folder: str) -> DataFrame:
-    """New FASTA files of a folder as an unbounded stream of (header, seq)."""
+    """New FASTA files of a folder as a stream of (file, block, header, seq); no text before marks."""
     value = F.col("value")
     mark = value.startswith(">")
     text = F.when(mark, F.expr("substring(value, 2)")).otherwise(value)
     raw = (
         spark.readStream.option("lineSep", "\n>")
         .text(folder)
-        .select("value", text.alias("text"), F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"))
+        .select(
+            text.alias("text"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+        )
     )
     return raw.select(
-        "file", "block", "row",
+        "file",
+        "block",
         clean_header(_head(F.col("text"))).alias("header"),
         clean_sequence(_body(F.col("text"))).alias("seq"),
     )

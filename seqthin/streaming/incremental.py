@@ -65,6 +65,8 @@ class IncrementalReducer:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Decide one batch and write its state."""
         ws, cfg = Workspace(self.spark), self.cfg
+        if "row" in self.order and "row" not in batch.columns:
+            batch = batch.withColumn("row", F.monotonically_increasing_id())
         records = ws.table(batch.withColumn("place", F.struct(*self.order)), "batch")
         sums = self.table("sums", batch_id)
         latest = sums.where(F.col("batch") == (sums.agg(F.max("batch")).first()[0] or 0))
