@@ -55,7 +55,8 @@ def header_key(header: Column) -> Column:
 
 
 def truncated_header(header: Column) -> Column:
-    return F.decode(header_key(header), "UTF-8")
+    # A cut may end inside a character; a cast keeps such bytes where decoding would fail.
+    return header_key(header).cast("string")
 
 
 def acgt_runs(seq: Column, k: int) -> Column:

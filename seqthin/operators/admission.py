@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqthin.config import ReduceConfig
+from seqthin.functions.kernels import CMS_SEEDS
 from seqthin.operators.kmers import count_won_kmers, explode_cells
 from seqthin.operators.signatures import Scheme
 from seqthin.sources.order import ROWS_PER_CHUNK, chunked, running_totals
@@ -93,7 +94,15 @@ def first_holders(
     if history is not None:
         seen = history.cells.select("shard", F.lit(BEFORE_ALL).alias("ord"), "cell")
         touches = touches.unionByName(seen)
-    return touches.groupBy("shard", "cell").agg(F.min("ord").alias("ord"))
+    return _first_by(touches, ["cell"], cfg)
+
+
+def _first_by(touches: DataFrame, keys: list[str], cfg: ReduceConfig) -> DataFrame:
+    """Lowest ord per shard and keys; one shard needs no column in the grouping key."""
+    lowest = F.min("ord").alias("ord")
+    if cfg.shards > 1:
+        return touches.groupBy("shard", *keys).agg(lowest)
+    return touches.groupBy(*keys).agg(lowest).select(F.lit(0).alias("shard"), *keys, "ord")
 
 
 def _count_singletons(won: DataFrame, passing: DataFrame, cfg: ReduceConfig) -> DataFrame:
@@ -129,13 +138,11 @@ def admit(
     if cfg.frequency != "exact":
         first = ws.table(first, "first-holders")  # no larger than the sketch
     won = first.where(F.col("ord") != BEFORE_ALL) if history is not None else first
-    base = (
-        profile.where("complete AND n_kmers > 0")
-        .select(*KEY)
-        .join(_count_singletons(won, passing, cfg), KEY, "left")
-        .select(*KEY, F.coalesce("n_singleton", F.lit(0)).cast("bigint").alias("n_singleton"))
+    usable = profile.where("complete AND n_kmers > 0").select(*KEY, "n_kmers")
+    base = usable.join(_count_singletons(won, passing, cfg), KEY, "left").select(
+        *KEY, F.coalesce("n_singleton", F.lit(0)).cast("bigint").alias("n_singleton")
     )
-    base = chunked(base, ws, KEY, rows_per_chunk)
+    base = chunked(base, ws, KEY, rows_per_chunk, usable.count())
     scored = outlier_test(base, cfg, history)
     rejects = ws.table(scored.where("reject").select(*KEY), "rejects")
     if rejects.isEmpty():
@@ -143,7 +150,7 @@ def admit(
 
     # Copies of a rejected record become singleton-rich once it holds nothing.
     cover = ws.table(rejects.unionByName(_shares_band(profile, rejects, cfg)).distinct(), "cover")
-    view = _Disputed(first, passing, base, cover, cfg, ws, history)
+    view = _Disputed(first, passing, base, usable, cover, cfg, ws, history)
     rounds = 1
     while True:
         rounds += 1
@@ -164,7 +171,7 @@ def admit(
         if change["escaped"]:
             wider = cover.unionByName(latest).unionByName(_shares_band(profile, latest, cfg))
             cover = ws.table(wider.distinct(), "cover")
-            view = _Disputed(first, passing, base, cover, cfg, ws, history)
+            view = _Disputed(first, passing, base, usable, cover, cfg, ws, history)
         rejects = latest
 
 
@@ -175,28 +182,28 @@ class _Disputed:
     first other one; later records can never hold the cell first.
     """
 
-    def __init__(self, first, passing, base, cover, cfg, ws, history):
+    def __init__(self, first, passing, base, usable, cover, cfg, ws, history):
         self.cfg, self.cover = cfg, cover
         cell = ["shard", "cell"] if cfg.shards > 1 else ["cell"]
         member = cover.select(*KEY, F.lit(True).alias("member"))
-        touches = explode_cells(passing, cfg, KEY).join(member, KEY, "left").withColumn(
+        flagged = passing.join(member, KEY, "left").withColumn(
             "cover_ord", F.when(F.col("member"), F.col("ord"))
         )
+        touches = explode_cells(flagged, cfg, [*KEY, "cover_ord"])
         if history is not None:
             seen = history.cells.select("shard", F.lit(BEFORE_ALL).alias("ord"), "cell")
             touches = touches.unionByName(seen, allowMissingColumns=True)
-        mine = ws.table(
-            explode_cells(ws.table(passing.join(cover, KEY, "left_semi"), "cover-sequences"), cfg, KEY)
-            .select("shard", "cell").distinct(),
-            "cover-cells",
-        )
-        small = mine.count() <= BROADCAST_CELLS
+        mine = explode_cells(passing.join(cover, KEY, "left_semi"), cfg, KEY).select("shard", "cell")
+        per_kmer = 1 if cfg.frequency == "exact" else len(CMS_SEEDS)
+        at_most = usable.join(cover, KEY, "left_semi").agg(F.sum("n_kmers")).first()[0] or 0
+        small = at_most * per_kmer <= BROADCAST_CELLS
         if small:
-            touches = touches.join(F.broadcast(mine.select(*cell)), cell, "left_semi")
+            wanted = F.broadcast(mine.select(*cell).distinct())
+            touches = touches.join(wanted, cell, "left_semi")
         # Records outside the cover are never rejected, so of them only the first matters.
-        who = touches.groupBy("shard", "cell", "cover_ord").agg(F.min("ord").alias("ord"))
+        who = _first_by(touches, ["cell", "cover_ord"], cfg)
         if not small:
-            who = who.join(mine, ["shard", "cell"], "left_semi")
+            who = who.join(mine.distinct(), ["shard", "cell"], "left_semi")
         who = ws.table(who, "holders")
         cells = ws.table(_disputed_cells(who, merge=cfg.frequency == "exact"), "disputed")
         before = who.where("cover_ord IS NOT NULL").join(cells, ["shard", "cell"])

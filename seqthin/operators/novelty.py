@@ -172,4 +172,4 @@ def settle(
     out = dropped[0]
     for part in dropped[1:]:
         out = out.unionByName(part)
-    return unsettled, ws.table(out.distinct(), "dropped")
+    return unsettled, out.distinct()

@@ -99,7 +99,7 @@ def meeting_keys(
 ) -> tuple[DataFrame, bool, bool]:
     """Tokens; whether they were prefix filtered; whether crowded keys remain."""
     toks = tokens(sketches, scheme, partition)
-    crowded = ws.table(crowded_keys(toks, limit), "crowded")
+    crowded = crowded_keys(toks, limit)
     if crowded.isEmpty():
         return toks, False, False
     if scheme.prefix == scheme.groups:

@@ -123,6 +123,8 @@ class Reducer:
 
     def _placed(self, records: DataFrame) -> DataFrame:
         if "shard" in records.columns:
+            if self.cfg.shards == 1:
+                raise ValueError("records carry shards; set cfg.shards to their number")
             return records
         return with_shard(records, self.ws, self.cfg.shards, self.rows_per_chunk)
 

@@ -18,11 +18,17 @@ ROWS_PER_CHUNK = 250_000
 
 
 def chunked(
-    df: DataFrame, ws: Workspace, order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame,
+    ws: Workspace,
+    order: list[str],
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows: int | None = None,
 ) -> DataFrame:
-    """``df`` as a written table with a ``chunk`` number that rises with ``order``."""
-    n = df.count()
-    chunks = max(1, math.ceil(n / rows_per_chunk))
+    """``df`` as a written table with a ``chunk`` number that rises with ``order``.
+
+    ``rows`` spares counting a costly ``df`` whose size is known.
+    """
+    chunks = max(1, math.ceil((df.count() if rows is None else rows) / rows_per_chunk))
     if chunks == 1:
         return ws.table(df.withColumn("chunk", F.lit(0)), "chunked")
     spread = df.repartitionByRange(chunks, *order)

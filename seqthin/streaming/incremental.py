@@ -67,13 +67,15 @@ class IncrementalReducer:
         ws, cfg = Workspace(self.spark), self.cfg
         if "row" in self.order and "row" not in batch.columns:
             batch = batch.withColumn("row", F.monotonically_increasing_id())
-        records = ws.table(batch.withColumn("place", F.struct(*self.order)), "batch")
+        records = ws.table(batch.select(F.struct(*self.order).alias("place"), "header", "seq"), "batch")
         sums = self.table("sums", batch_id)
         latest = sums.where(F.col("batch") == (sums.agg(F.max("batch")).first()[0] or 0))
         history = History(self.table("cells", batch_id).drop("batch"), latest.drop("batch"))
         done = self.table("decisions", batch_id).agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
         records = with_ordinal(records, ws, "place", "ord", rows_per_chunk=self.rows_per_chunk)
-        records = ws.table(records.select(F.col("ord") + done, "header", "seq").toDF("ord", "header", "seq"), "records")
+        records = ws.table(
+            records.select((F.col("ord") + done).alias("ord"), "header", "seq"), "records"
+        )
 
         quality = with_quality(records, cfg)
         profile = ws.table(profiles(quality, cfg), "profile")

@@ -34,21 +34,20 @@ def by_hand(records, cfg, shard_of):
 
 
 CASES = [
-    dict(frequency="exact", outlier_sd=2.0),
+    dict(frequency="exact", outlier_sd=2.0, kmer_cap=50),
     dict(frequency="exact", outlier_sd=1.0, shards=3, k=7),
     dict(frequency="countmin", cms_log2_width=9, outlier_sd=1.0),
     dict(frequency="countmin", cms_log2_width=10, outlier_sd=1.5, shards=2, by_month=False),
-    dict(frequency="exact", outlier_sd=0.5, warmup=3, sketch=64, threshold=0.3, kmer_cap=50),
 ]
 
 
 @pytest.mark.parametrize("case", range(len(CASES)))
-@pytest.mark.parametrize("rows_per_chunk", [20, 10_000])
-def test_matches_record_by_record(spark, case, rows_per_chunk):
+def test_matches_record_by_record(spark, case):
+    rows_per_chunk = 20 if case % 2 else 10_000
     cfg = ReduceConfig(**{
         **dict(k=5, min_len=20, max_n_frac=0.3, warmup=10, sketch=32, threshold=0.25), **CASES[case]
     })
-    records = sequential.random_records(random.Random(case), 150)
+    records = sequential.random_records(random.Random(case), 120)
     reducer = Reducer(spark, cfg, key_limit=4, rows_per_chunk=rows_per_chunk)
     out = reducer.run(spark.createDataFrame(records, SCHEMA).repartition(3))
     shard_of = {r["ord"]: r["shard"] for r in out.profile.select("ord", "shard").collect()}
@@ -59,7 +58,7 @@ def test_matches_record_by_record(spark, case, rows_per_chunk):
     assert sorted(r[0] for r in out.shard_kept.collect()) == sorted(local)
     assert sorted(r[0] for r in out.kept.collect()) == sorted(overall)
     tally = out.report().first()
-    assert tally["seen"] == 150 and tally["promoted"] == len(overall)
+    assert tally["seen"] == 120 and tally["promoted"] == len(overall)
     assert tally["admit"] == sum(v[0] == "ADMIT" for v in verdicts.values())
 
 

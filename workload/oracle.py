@@ -345,7 +345,7 @@ def oracle() -> dict[str, str]:
     counters = [*base(), *cells(wide), ("counters", "SELECT cms_row, col, count(*) AS n FROM kmers JOIN word_cells USING (kmer) GROUP BY ALL")]
     exact, shard = exact_neighbours(), sharded(Q.SHARDED)
     alone = sharded(Q.SHARDED, UNGATED, ungated=True)
-    decided = "SELECT ord, decision, n_singleton FROM decisions"
+    decided = "SELECT ord, decision, coalesce(n_singleton, -1) AS n_singleton FROM decisions"
     related = [*base(), *sketches(B), *all_pairs(B, 32)]
     return {
         "derive_sequences": seq + "SELECT ord, header, seq FROM seqs",
@@ -395,8 +395,8 @@ SELECT ord, count_if(df <= cutoff)::BIGINT AS n_rare FROM held_df JOIN cuts ON n
         "novelty_by_month": flow("SELECT mbucket, count(*) AS promoted FROM kept GROUP BY mbucket"),
         "novelty_undivided": with_(*pipeline(Q.FLAT, "0"), recursive=True) + "SELECT ord FROM kept",
         "novelty_only": with_(*alone, recursive=True) + "SELECT ord, shard, ord IN (SELECT ord FROM kept) AS kept FROM local_kept",
-        "novelty_exact_nn": with_(*exact, recursive=True) + """SELECT ord, CASE WHEN rep IS NULL THEN 'PROMOTE' ELSE 'DROP' END AS decision, rep,
-  1.0::DOUBLE - equal::DOUBLE / 64 AS novelty FROM sk LEFT JOIN nearest USING (ord)""",
+        "novelty_exact_nn": with_(*exact, recursive=True) + """SELECT ord, CASE WHEN rep IS NULL THEN 'PROMOTE' ELSE 'DROP' END AS decision, coalesce(rep, ord) AS rep,
+  coalesce(1.0::DOUBLE - equal::DOUBLE / 64, 1.0::DOUBLE) AS novelty FROM sk LEFT JOIN nearest USING (ord)""",
         "cluster_counts": with_(*exact, recursive=True) + "SELECT rep, count(*) AS members FROM (SELECT ord AS rep FROM kept UNION ALL SELECT rep FROM nearest) GROUP BY rep",
         "cluster_sizes_by_month": with_(*pipeline(B), ("nearest", """
 SELECT j AS ord, arg_max(i, equal * 100000000 - i) AS rep FROM edges WHERE i IN (SELECT ord FROM kept) AND j NOT IN (SELECT ord FROM kept) GROUP BY j"""), recursive=True)

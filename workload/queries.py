@@ -233,16 +233,20 @@ def admission_round1(spark, sf):
 
 
 def admission_final(spark, sf):
-    return reduction(spark, sf).decisions().select("ord", "decision", "n_singleton")
+    return _verdicts(reduction(spark, sf).decisions())
 
 
 def admission_countmin(spark, sf):
-    out = Reducer(spark, COUNTMIN).admission_only(records(spark, sf))
-    return out.select("ord", "decision", "n_singleton")
+    return _verdicts(Reducer(spark, COUNTMIN).admission_only(records(spark, sf)))
 
 
 def admission_ungated(spark, sf):
-    return _ungated(spark, sf).select("ord", "decision", "n_singleton")
+    return _verdicts(_ungated(spark, sf))
+
+
+def _verdicts(rows):
+    """Verdict per record; -1 singletons where none were counted."""
+    return rows.select("ord", "decision", F.coalesce("n_singleton", F.lit(-1)).alias("n_singleton"))
 
 
 def _ungated(spark, sf):
@@ -332,15 +336,15 @@ def _exact_nearest(spark, sf):
 
 
 def novelty_exact_nn(spark, sf):
-    """Decisions against every kept record, with the score of dropped ones."""
+    """Decisions against every kept record: a dropped one's nearest and its score."""
     prof, kept = _exact(spark, sf)
     base = prof.where("sketch IS NOT NULL").select("ord")
     rows = base.join(_exact_nearest(spark, sf), "ord", "left")
     return rows.select(
         "ord",
         F.when(F.col("rep").isNull(), "PROMOTE").otherwise("DROP").alias("decision"),
-        "rep",
-        (1.0 - F.col("equal") / STRICT.sketch).alias("novelty"),
+        F.coalesce("rep", "ord").alias("rep"),
+        F.coalesce(1.0 - F.col("equal") / STRICT.sketch, F.lit(1.0)).alias("novelty"),
     )
 
 
