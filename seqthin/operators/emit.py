@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,16 @@ def write_fasta(records: DataFrame, path: str, by_shard: bool = False) -> None:
 
 
 def four_places(x: Column) -> Column:
-    """A ratio with four decimals, rounded from its exact binary value."""
-    return F.format_number(x, 4)
+    """A ratio with four decimals, rounded from its exact binary value.
+
+    The JVM's formatters round some decimal ties, such as 0.00005, otherwise.
+    """
+
+    @F.arrow_udf("string")
+    def printed(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.4f}" for v in values.to_pylist()], pa.string())
+
+    return printed(x)
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
