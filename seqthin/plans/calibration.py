@@ -13,19 +13,20 @@ from seqthin.functions.calibrate import (
     sketch_bytes,
     threshold_for,
 )
-from seqthin.operators.signatures import Scheme, compare, meeting_keys, pairs_within
-from seqthin.workspace import Workspace
+from seqthin.operators.signatures import compare, novelty_scheme, pairs_between, tokens
 
 
 def related_pairs(
-    sketches: DataFrame, cfg: ReduceConfig, similarity: float, ws: Workspace
+    sketches: DataFrame, kept: DataFrame, cfg: ReduceConfig, similarity: float
 ) -> DataFrame:
-    """(i, j, equal): pairs of (ord, sketch) at or above a Jaccard similarity."""
-    need = next(e for e in range(cfg.sketch + 1) if e / cfg.sketch >= similarity)
-    scheme = Scheme.exhaustive(cfg.sketch, need, cfg.bands)
-    toks, filtered, _ = meeting_keys(sketches, scheme, [], ws, 64)
-    pairs = pairs_within(toks, 1 if filtered else scheme.shared)
-    return compare(pairs, sketches, need)
+    """(i, j, equal): kept i and any other j that share a band, more similar than given.
+
+    Records are related to the kept ones only, as novelty does, never all to all.
+    """
+    scheme = novelty_scheme(cfg.sketch, cfg.bands, 1.0 - similarity)
+    toks = tokens(sketches, scheme, [])
+    pairs = pairs_between(toks, toks.join(kept, "ord", "left_semi"))
+    return compare(pairs, sketches, scheme.need)
 
 
 def suggest(pairs: DataFrame, cfg: ReduceConfig) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from seqthin.functions.text import clean_header, clean_sequence
 
 
+BROADCAST_BLOCKS = 500_000
+
+
 def _raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per text between record marks, with its place in the input."""
     return (
@@ -55,6 +58,9 @@ def read_fasta(
         "preamble",
         F.coalesce(F.sum(F.col("rows") - F.col("preamble").cast("int")).over(order), F.lit(0)).alias("earlier"),
     )
+    # Splits and files bound the number of blocks; few enough, they travel to the records.
+    if raw.rdd.getNumPartitions() + len(raw.inputFiles()) <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
     placed = raw.join(blocks, ["file", "block"])
     at_top = (F.col("block") == 0) & (F.col("row") == F.col("first_row"))
     records = placed.where(~(at_top & F.col("preamble"))).select(

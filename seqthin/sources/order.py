@@ -72,7 +72,10 @@ def with_ordinal(
     part: list[str] | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Number rows 1, 2, … by ``key`` within each part; only the keys move, not the rows."""
+    """Number rows 1, 2, … by ``key`` within each part.
+
+    Ranking moves keys only; the numbers then join the rows by key.
+    """
     part = part or []
     keys = chunked(df.select(*part, key), ws, [*part, key], rows_per_chunk)
     numbered = running_totals(keys, part, key, {name: F.lit(1).cast("bigint")})

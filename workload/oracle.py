@@ -346,7 +346,9 @@ def oracle() -> dict[str, str]:
     exact, shard = exact_neighbours(), sharded(Q.SHARDED)
     alone = sharded(Q.SHARDED, UNGATED, ungated=True)
     decided = "SELECT ord, decision, coalesce(n_singleton, -1) AS n_singleton FROM decisions"
-    related = [*base(), *sketches(B), *all_pairs(B, 32)]
+    related = [*pipeline(Q.FLAT, "0"), ("near", f"""
+SELECT * FROM (SELECT i, j, {EQUAL} AS equal FROM (SELECT DISTINCT a.ord AS i, b.ord AS j FROM edges_bands a JOIN edges_bands b USING (part, band, rows)
+  WHERE a.ord <> b.ord AND a.ord IN (SELECT ord FROM kept)) JOIN sk a ON a.ord = i JOIN sk b ON b.ord = j) WHERE equal > 32""")]
     return {
         "derive_sequences": seq + "SELECT ord, header, seq FROM seqs",
         "fasta_round_trip": seq + "SELECT ord, header, seq FROM seqs",
@@ -389,8 +391,8 @@ SELECT ord, count_if(df <= cutoff)::BIGINT AS n_rare FROM held_df JOIN cuts ON n
         "minhash_sketch": with_(*base(), *sketches(B)) + f"SELECT ord, {sketch_text(B)} AS sketch FROM sk",
         "minhash_pcg64": with_(*base(Q.STRICT), *sketches(Q.STRICT)) + f"SELECT ord, {sketch_text(B)} AS sketch FROM sk",
         "lsh_bands": band_fold(),
-        "jaccard_pairs": with_(*related) + "SELECT i, j, equal, equal::DOUBLE / 64 AS jaccard FROM edges",
-        "candidate_pairs": with_(*base(), *sketches(B), *edges(B, 55, part="0")) + "SELECT i, j, equal FROM edges",
+        "jaccard_pairs": with_(*related, recursive=True) + "SELECT i, j, equal, equal::DOUBLE / 64 AS jaccard FROM near",
+        "candidate_pairs": with_(*pipeline(Q.FLAT, "0"), recursive=True) + "SELECT i, j, equal FROM edges WHERE i IN (SELECT ord FROM kept)",
         "novelty_promoted": flow("SELECT ord, header, a.mbucket, n_kmers FROM admitted a JOIN nk USING (ord) WHERE ord IN (SELECT ord FROM kept)"),
         "novelty_by_month": flow("SELECT mbucket, count(*) AS promoted FROM kept GROUP BY mbucket"),
         "novelty_undivided": with_(*pipeline(Q.FLAT, "0"), recursive=True) + "SELECT ord FROM kept",
@@ -423,8 +425,8 @@ WHERE key IN (SELECT split_part(header, '|', 3) || '|' || length(seq) FROM admit
         "mutual_coverage": with_(*study(), recursive=True) + "SELECT * FROM cover",
         "order_verdict": with_(*study(), recursive=True) + """SELECT avg(share) AS mean_coverage, min(share) AS min_coverage, any_value(drift) AS drift,
   avg(share) > 0.98 AND any_value(drift) < 0.10 AS equivalent FROM cover, counts""",
-        "calibration": with_(*related, ("dist", "SELECT -ln(2 * x / (1 + x)) / 15 AS d FROM (SELECT equal::DOUBLE / 64 AS x FROM edges)"),
-            ("med", "SELECT count(*) AS pairs, median(d) AS m FROM dist")) + f"""
+        "calibration": with_(*related, ("dist", "SELECT -ln(2 * x / (1 + x)) / 15 AS d FROM (SELECT equal::DOUBLE / 64 AS x FROM near)"),
+            ("med", "SELECT count(*) AS pairs, median(d) AS m FROM dist"), recursive=True) + f"""
 SELECT pairs, round(m, 9) AS median_divergence, round(30 * m, 9) AS suggested_threshold, round({B.threshold}::DOUBLE / 30, 9) AS boundary,
   round(1.0::DOUBLE / 64, 9) AS slot_resolution, round(1.0::DOUBLE / (30 * 64), 9) AS floor, 512::BIGINT AS bytes_per_record, 1.0::DOUBLE / 64 < m AS resolves FROM med""",
         "stream_reduce": flow("SELECT ord, header FROM admitted WHERE ord IN (SELECT ord FROM kept)"),

@@ -8,7 +8,6 @@ input folder; ``forget`` drops them.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +21,6 @@ from seqthin.operators.admission import first_holders, outlier_test, _count_sing
 from seqthin.operators.clusters import cluster_sizes, nearest_kept
 from seqthin.operators.emit import emitted, fasta_text, four_places, write_fasta
 from seqthin.operators.gate import with_quality
-from seqthin.operators.novelty import keep_novel
-from seqthin.operators.signatures import Scheme, compare, meeting_keys, pairs_within
 from seqthin.plans.calibration import related_pairs, suggest
 from seqthin.plans.reduce import Reducer, decision_lines, exact_scheme
 from seqthin.plans.validate import study_orders
@@ -284,24 +281,20 @@ def lsh_bands(spark, sf):
     return rows.select("ord", "band", F.lpad(F.hex("key"), 16, "0").alias("key"))
 
 
-def _pairs(spark, sf, need):
-    """Pairs of complete records that agree on a band, with their equal slots."""
-    nodes = sketches(spark, sf)
-    scheme = Scheme.of(BASE.sketch, BASE.bands, need)
-    toks, filtered, _ = meeting_keys(nodes, scheme, [], Workspace(spark), 1000)
-    pairs = pairs_within(toks, 1 if filtered else scheme.shared)
-    return compare(pairs, nodes, need)
+def _related(spark, sf, similarity):
+    out = reduction(spark, sf, FLAT)
+    return related_pairs(out.admitted.select("ord", "sketch"), out.kept, FLAT, similarity)
 
 
 def jaccard_pairs(spark, sf):
-    """All pairs with a similarity of at least one half."""
-    pairs = related_pairs(sketches(spark, sf), BASE, RELATED, Workspace(spark))
+    """Records that share a band with a kept one and are more than half similar to it."""
+    pairs = _related(spark, sf, RELATED)
     return pairs.select("i", "j", "equal", (F.col("equal") / BASE.sketch).alias("jaccard"))
 
 
 def candidate_pairs(spark, sf):
-    """Redundant pairs: a shared band and a similarity above 1 - threshold."""
-    return _pairs(spark, sf, 55).select("i", "j", "equal")
+    """What drops records: an earlier kept one with a shared band, within the threshold."""
+    return _related(spark, sf, 1.0 - BASE.threshold).where("i < j").select("i", "j", "equal")
 
 
 def novelty_promoted(spark, sf):
@@ -464,8 +457,7 @@ def order_verdict(spark, sf):
 
 
 def calibration(spark, sf):
-    nodes = sketches(spark, sf).select("ord", "sketch")
-    out = suggest(related_pairs(nodes, BASE, RELATED, Workspace(spark)), BASE)
+    out = suggest(_related(spark, sf, RELATED), BASE)
     return out.select(
         "pairs", *[F.round(c, 9).alias(c) for c in ("median_divergence", "suggested_threshold", "boundary", "slot_resolution", "floor")],
         "bytes_per_record", "resolves",
