@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 from tests.compare import check, connect
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["derive_sequences", "header_truncate", "kmer_counts", "lsh_bands", "novelty_promoted", "pipeline_report"]
+CHECKED = ["derive_sequences", "header_truncate", "kmer_counts", "lsh_bands", "novelty_promoted", "reduction_report"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 

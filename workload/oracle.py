@@ -230,7 +230,7 @@ FROM {out}_walk w JOIN {out}_nb n ON n.rn = w.rn + 1"""),
     ]
 
 
-def pipeline(cfg, part="mbucket") -> list[tuple[str, str]]:
+def reduced(cfg, part="mbucket") -> list[tuple[str, str]]:
     return [
         *base(cfg), *admission(cfg), *sketches(cfg, "admitted"), *edges(cfg, 55, part=part), *greedy(),
     ]
@@ -332,7 +332,7 @@ def oracle() -> dict[str, str]:
     seq, all_ = with_(SEQS), with_(SEQS, STATS)
     gate = with_(SEQS, STATS, gated(B))
     km = lambda tail: with_(*base()) + tail
-    flow = lambda tail: with_(*pipeline(B), recursive=True) + tail
+    flow = lambda tail: with_(*reduced(B), recursive=True) + tail
     ungated_cfg = B.but(min_len=0, max_n_frac=1.0)
     ungated = [*base(B, UNGATED), *admission(ungated_cfg)]
     wide = Q.COUNTMIN.cms_log2_width
@@ -346,7 +346,7 @@ def oracle() -> dict[str, str]:
     exact, shard = exact_neighbours(), sharded(Q.SHARDED)
     alone = sharded(Q.SHARDED, UNGATED, ungated=True)
     decided = "SELECT ord, decision, coalesce(n_singleton, -1) AS n_singleton FROM decisions"
-    related = [*pipeline(Q.FLAT, "0"), ("near", f"""
+    related = [*reduced(Q.FLAT, "0"), ("near", f"""
 SELECT * FROM (SELECT i, j, {EQUAL} AS equal FROM (SELECT DISTINCT a.ord AS i, b.ord AS j FROM edges_bands a JOIN edges_bands b USING (part, band, rows)
   WHERE a.ord <> b.ord AND a.ord IN (SELECT ord FROM kept)) JOIN sk a ON a.ord = i JOIN sk b ON b.ord = j) WHERE equal > 32""")]
     return {
@@ -392,15 +392,15 @@ SELECT ord, count_if(df <= cutoff)::BIGINT AS n_rare FROM held_df JOIN cuts ON n
         "minhash_pcg64": with_(*base(Q.STRICT), *sketches(Q.STRICT)) + f"SELECT ord, {sketch_text(B)} AS sketch FROM sk",
         "lsh_bands": band_fold(),
         "jaccard_pairs": with_(*related, recursive=True) + "SELECT i, j, equal, equal::DOUBLE / 64 AS jaccard FROM near",
-        "candidate_pairs": with_(*pipeline(Q.FLAT, "0"), recursive=True) + "SELECT i, j, equal FROM edges WHERE i IN (SELECT ord FROM kept)",
+        "candidate_pairs": with_(*reduced(Q.FLAT, "0"), recursive=True) + "SELECT i, j, equal FROM edges WHERE i IN (SELECT ord FROM kept)",
         "novelty_promoted": flow("SELECT ord, header, a.mbucket, n_kmers FROM admitted a JOIN nk USING (ord) WHERE ord IN (SELECT ord FROM kept)"),
         "novelty_by_month": flow("SELECT mbucket, count(*) AS promoted FROM kept GROUP BY mbucket"),
-        "novelty_undivided": with_(*pipeline(Q.FLAT, "0"), recursive=True) + "SELECT ord FROM kept",
+        "novelty_undivided": with_(*reduced(Q.FLAT, "0"), recursive=True) + "SELECT ord FROM kept",
         "novelty_only": with_(*alone, recursive=True) + "SELECT ord, shard, ord IN (SELECT ord FROM kept) AS kept FROM local_kept",
         "novelty_exact_nn": with_(*exact, recursive=True) + """SELECT ord, CASE WHEN rep IS NULL THEN 'PROMOTE' ELSE 'DROP' END AS decision, coalesce(rep, ord) AS rep,
   coalesce(1.0::DOUBLE - equal::DOUBLE / 64, 1.0::DOUBLE) AS novelty FROM sk LEFT JOIN nearest USING (ord)""",
         "cluster_counts": with_(*exact, recursive=True) + "SELECT rep, count(*) AS members FROM (SELECT ord AS rep FROM kept UNION ALL SELECT rep FROM nearest) GROUP BY rep",
-        "cluster_sizes_by_month": with_(*pipeline(B), ("nearest", """
+        "cluster_sizes_by_month": with_(*reduced(B), ("nearest", """
 SELECT j AS ord, arg_max(i, equal * 100000000 - i) AS rep FROM edges WHERE i IN (SELECT ord FROM kept) AND j NOT IN (SELECT ord FROM kept) GROUP BY j"""), recursive=True)
         + "SELECT rep, count(*) AS members FROM (SELECT ord AS rep FROM kept UNION ALL SELECT rep FROM nearest) GROUP BY rep",
         "sampled_drops": with_(*exact, recursive=True) + f"""
@@ -416,7 +416,7 @@ WHERE decision = 'PROMOTE' OR (decision IS NOT NULL AND ord % {Q.SAMPLE_EVERY} =
         "emit_promoted": flow("SELECT ord, '>' || header || chr(10) || seq AS record FROM admitted WHERE ord IN (SELECT ord FROM kept)"),
         "emit_by_header": flow("""SELECT ord, key AS header FROM (SELECT ord, split_part(header, '|', 3) || '|' || length(seq) AS key FROM stats)
 WHERE key IN (SELECT split_part(header, '|', 3) || '|' || length(seq) FROM admitted WHERE ord IN (SELECT ord FROM kept))"""),
-        "pipeline_report": report(pipeline(B)),
+        "reduction_report": report(reduced(B)),
         "novelty_report": with_(*alone, recursive=True) + """SELECT (SELECT count(*) FROM stats) AS admitted, (SELECT count(*) FROM local_kept) AS candidates,
   count(*) AS promoted, (SELECT count(*) FROM stats)::DOUBLE / greatest(1, count(*))::DOUBLE AS factor FROM kept""",
         "admission_report": with_(*ungated, DECISIONS) + """SELECT count(*) AS seen, count_if(decision = 'SKIP')::BIGINT AS skip,

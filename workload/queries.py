@@ -404,7 +404,7 @@ def emit_by_header(spark, sf):
     return emitted(docs, chosen, by="header").select("ord", "header")
 
 
-def pipeline_report(spark, sf):
+def reduction_report(spark, sf):
     return reduction(spark, sf).report()
 
 
@@ -496,7 +496,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         novelty_promoted, novelty_by_month, novelty_undivided, novelty_only, novelty_exact_nn,
         cluster_counts, cluster_sizes_by_month, sampled_drops,
         shards_by_bytes, sharded_promoted, phase2_merge, shard_limit, sketch_limit,
-        emit_promoted, emit_by_header, pipeline_report, novelty_report, admission_report,
+        emit_promoted, emit_by_header, reduction_report, novelty_report, admission_report,
         order_drift, mutual_coverage, order_verdict, calibration, stream_reduce,
     )
 }
