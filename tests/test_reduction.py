@@ -34,7 +34,7 @@ def by_hand(records, cfg, shard_of):
 
 
 CASES = [
-    dict(frequency="exact", outlier_sd=2.0, kmer_cap=50),
+    dict(frequency="exact", outlier_sd=1.0, kmer_cap=50),
     dict(frequency="exact", outlier_sd=1.0, shards=3, k=7),
     dict(frequency="countmin", cms_log2_width=9, outlier_sd=1.0),
     dict(frequency="countmin", cms_log2_width=10, outlier_sd=1.5, shards=2, by_month=False),
