@@ -2,3 +2,10 @@
 
 Functions that run in Python workers travel with their tasks, as in the package above.
 """
+
+from pyspark import cloudpickle
+
+from seqthin.llm import batches, repair, tokens, two_fit
+
+for _module in (batches, repair, tokens, two_fit):
+    cloudpickle.register_pickle_by_value(_module)

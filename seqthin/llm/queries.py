@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqthin.llm import hash_tree, winnow
+from seqthin.llm import hash_tree, repair, two_fit, winnow
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_repair(spark, sf):
+    return repair.repair_round_trip(_table(spark, sf, "documents"), tokenizer_path())
+
+
+def op2_two_fit(spark, sf):
+    return two_fit.pack(_table(spark, sf, "documents"), tokenizer_path())
+
+
 def op9_hash_tree(spark, sf):
     """Two regions of two racks of two shards, and one more shard in a region of its own."""
     tree = hash_tree.regular_tree(2, 2, 2)
@@ -24,6 +38,8 @@ def op10_winnowing(spark, sf):
 
 
 QUERIES = {
+    "op1_repair": op1_repair,
+    "op2_two_fit": op2_two_fit,
     "op9_hash_tree": op9_hash_tree,
     "op10_winnowing": op10_winnowing,
 }
