@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqthin.llm import hash_tree, repair, two_fit, winnow
+from seqthin.llm import boosted_rules, hash_tree, repair, two_fit, winnow
 
 
 def tokenizer_path() -> str:
@@ -26,6 +26,12 @@ def op2_two_fit(spark, sf):
     return two_fit.pack(_table(spark, sf, "documents"), tokenizer_path())
 
 
+def op3_boosted_rules(spark, sf):
+    docs = _table(spark, sf, "documents")
+    trees = boosted_rules.fit_quality(docs, _table(spark, sf, "labels"))
+    return boosted_rules.quality_rules(docs, trees)
+
+
 def op9_hash_tree(spark, sf):
     """Two regions of two racks of two shards, and one more shard in a region of its own."""
     tree = hash_tree.regular_tree(2, 2, 2)
@@ -40,6 +46,7 @@ def op10_winnowing(spark, sf):
 QUERIES = {
     "op1_repair": op1_repair,
     "op2_two_fit": op2_two_fit,
+    "op3_boosted_rules": op3_boosted_rules,
     "op9_hash_tree": op9_hash_tree,
     "op10_winnowing": op10_winnowing,
 }
