@@ -5,7 +5,7 @@ Functions that run in Python workers travel with their tasks, as in the package
 
 from pyspark import cloudpickle
 
-from seqthin.llm import batches, boosted_rules, bytescan, repair, tokens, two_fit
+from seqthin.llm import batches, boosted_rules, byte_cnn, bytescan, repair, tokens, two_fit, word_cnn
 
-for _module in (batches, boosted_rules, bytescan, repair, tokens, two_fit):
+for _module in (batches, boosted_rules, byte_cnn, bytescan, repair, tokens, two_fit, word_cnn):
     cloudpickle.register_pickle_by_value(_module)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqthin.llm import boosted_rules, hash_tree, repair, two_fit, winnow
+from seqthin.llm import boosted_rules, byte_cnn, hash_tree, repair, two_fit, winnow, word_cnn
 
 
 def tokenizer_path() -> str:
@@ -32,6 +32,16 @@ def op3_boosted_rules(spark, sf):
     return boosted_rules.quality_rules(docs, trees)
 
 
+def op4_byte_cnn(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return byte_cnn.score(docs, byte_cnn.fit_quality(docs, _table(spark, sf, "labels")))
+
+
+def op8_word_cnn(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return word_cnn.score(docs, word_cnn.fit_toxicity(docs, _table(spark, sf, "labels")))
+
+
 def op9_hash_tree(spark, sf):
     """Two regions of two racks of two shards, and one more shard in a region of its own."""
     tree = hash_tree.regular_tree(2, 2, 2)
@@ -47,6 +57,8 @@ QUERIES = {
     "op1_repair": op1_repair,
     "op2_two_fit": op2_two_fit,
     "op3_boosted_rules": op3_boosted_rules,
+    "op4_byte_cnn": op4_byte_cnn,
+    "op8_word_cnn": op8_word_cnn,
     "op9_hash_tree": op9_hash_tree,
     "op10_winnowing": op10_winnowing,
 }
