@@ -3,9 +3,8 @@
 Functions that run in Python workers travel with their tasks, as in the package above.
 """
 
-from pyspark import cloudpickle
+import sys
 
-from seqthin.llm import batches, boosted_rules, byte_cnn, bytescan, repair, tokens, two_fit, word_cnn
+from pyspark import cloudpickle
 
-for _module in (batches, boosted_rules, byte_cnn, bytescan, repair, tokens, two_fit, word_cnn):
-    cloudpickle.register_pickle_by_value(_module)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

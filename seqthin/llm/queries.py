@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqthin.llm import boosted_rules, byte_cnn, hash_tree, repair, two_fit, winnow, word_cnn
+from seqthin.llm import boosted_rules, byte_cnn, hash_tree, repair, simhash, two_fit, winnow, word_cnn
 
 
 def tokenizer_path() -> str:
@@ -37,6 +37,10 @@ def op4_byte_cnn(spark, sf):
     return byte_cnn.score(docs, byte_cnn.fit_quality(docs, _table(spark, sf, "labels")))
 
 
+def op7_simhash(spark, sf):
+    return simhash.components(_table(spark, sf, "documents"))
+
+
 def op8_word_cnn(spark, sf):
     docs = _table(spark, sf, "documents")
     return word_cnn.score(docs, word_cnn.fit_toxicity(docs, _table(spark, sf, "labels")))
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_two_fit": op2_two_fit,
     "op3_boosted_rules": op3_boosted_rules,
     "op4_byte_cnn": op4_byte_cnn,
+    "op7_simhash": op7_simhash,
     "op8_word_cnn": op8_word_cnn,
     "op9_hash_tree": op9_hash_tree,
     "op10_winnowing": op10_winnowing,
