@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqthin.llm import boosted_rules, byte_cnn, hash_tree, ppm, repair, simhash, two_fit, winnow, word_cnn
+from seqthin.llm import boosted_rules, bwt_merge, byte_cnn, hash_tree, ppm, repair, simhash, two_fit, winnow, word_cnn
 
 
 def tokenizer_path() -> str:
@@ -37,6 +37,10 @@ def op4_byte_cnn(spark, sf):
     return byte_cnn.score(docs, byte_cnn.fit_quality(docs, _table(spark, sf, "labels")))
 
 
+def op5_bwt_merge(spark, sf):
+    return bwt_merge.repeats(_table(spark, sf, "documents"))
+
+
 def op6_ppm(spark, sf):
     return ppm.language_scores(_table(spark, sf, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op2_two_fit": op2_two_fit,
     "op3_boosted_rules": op3_boosted_rules,
     "op4_byte_cnn": op4_byte_cnn,
+    "op5_bwt_merge": op5_bwt_merge,
     "op6_ppm": op6_ppm,
     "op7_simhash": op7_simhash,
     "op8_word_cnn": op8_word_cnn,
