@@ -67,17 +67,19 @@ def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
 
 
 def fingerprint_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a BIGINT bit pattern."""
+    """(doc_id, tid, fp): a hash of the text, and the fingerprint as a BIGINT bit pattern."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in text_slices(batch):
                 texts = [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(fingerprints(texts, words).view(np.int64))], names=["doc_id", "fp"]
+                    [rows.column("doc_id"), rows.column("tid"), pa.array(fingerprints(texts, words).view(np.int64))],
+                    names=["doc_id", "tid", "fp"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(make, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("tid"), "text")
+    return rows.mapInArrow(make, "doc_id bigint, tid bigint, fp bigint")
 
 
 def stretches(blocks: int) -> list[int]:
@@ -242,15 +244,19 @@ def spread(links_: DataFrame, ws: Workspace) -> DataFrame:
         before = (state["n"], state["sum"])
 
 
-def components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, part_rows: int = PART_ROWS) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id."""
-    ws = Workspace(docs.sparkSession)
+def _grouped(docs: DataFrame, ws: Workspace, words: int, radius: int, blocks: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tid, fp) and, for every fingerprint, the smallest one it reaches (fp, root, least)."""
     rows = ws.table(fingerprint_rows(docs, words), "fingerprints")
     distinct = ws.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = spread(links(distinct.select("fp"), ws, radius, blocks, part_rows), ws)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+    return rows, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
+
+
+def components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, part_rows: int = PART_ROWS) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits), component_id."""
+    rows, named = _grouped(docs, Workspace(docs.sparkSession), words, radius, blocks, part_rows)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
@@ -258,10 +264,23 @@ def components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks
     )
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """Of each component the rows with its smallest doc_id, one of them where ids repeat."""
+def drop_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, part_rows: int = PART_ROWS) -> DataFrame:
+    """Of each component the row with the smallest doc_id, all columns kept.
+
+    Rows with a null doc_id always stay; of rows equal in doc_id and text one stays.
+    """
     ws = Workspace(docs.sparkSession)
-    found = ws.table(components(docs, words, radius), "components")
-    gone = found.where("component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id)").select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+    known = docs.where("doc_id IS NOT NULL")
+    rows, named = _grouped(known, ws, words, radius, blocks, part_rows)
+    member = ws.table(rows.join(named.select("fp", "root"), "fp").select("doc_id", "tid", "root"), "members")
+    stays = member.groupBy("root").agg(F.min(F.struct("doc_id", "tid")).alias("stays"))
+    gone = member.join(stays, "root").where("stays <> struct(doc_id, tid)").select("doc_id", "tid")
+    # A written table: the optimizer sees its size and broadcasts it only where it is small.
+    gone = ws.table(gone.distinct(), "gone").select(F.col("doc_id").alias("_gone"), F.col("tid").alias("_gone_text"))
+    same = (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_gone_text"])
+    kept = docs.join(gone, same, "left_anti")
+    repeats = member.groupBy("doc_id", "tid").agg(F.count("*").alias("n")).where("n > 1")
+    if repeats.isEmpty():
+        return kept
+    first = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return first.unionByName(kept.where("doc_id IS NULL"))

@@ -84,10 +84,12 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, share: int = 20
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, share: int = 20,
+    keep_text_id: bool = False,
 ) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated.
 
+    ``keep_text_id`` adds ``tid``, a hash of the text, for joins back to documents.
     ``share``: contaminated when ``share * n_hit >= n_words`` and something is hit.
     """
     ws = Workspace(docs.sparkSession)
@@ -167,5 +169,15 @@ def contamination(
         F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= n_words)).alias("contaminated"),
-        items.alias("items"),
+        items.alias("items"), *(["tid"] if keep_text_id else []),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, share: int = 20) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    found = contamination(docs.select("doc_id", "text"), benchmark, window, k, share, keep_text_id=True)
+    # A written table: the optimizer sees its size and broadcasts it only where it is small.
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("tid").alias("_bad_text")).distinct()
+    bad = Workspace(docs.sparkSession).table(bad, "contaminated")
+    same = docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"])
+    return docs.join(bad, same, "left_anti")
