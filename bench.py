@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession
 
 from workload import queries as Q
+from workload.session import ensure_folder
 
 HEADLINES = [
     "gate_report", "corpus_distinct_kmers", "minhash_sketch", "admission_final", "candidate_pairs",
@@ -35,6 +36,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_folder(spark)
     warm = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
         Q.QUERIES["novelty_promoted"](spark, warm).write.format("noop").mode("overwrite").save()

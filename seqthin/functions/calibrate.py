@@ -40,17 +40,18 @@ def binomial_cutoff(trials: Column, p: float, mass: float) -> Column:
         found = np.zeros(len(draws), np.int64)
         live = np.flatnonzero(draws > 0)
         term, total, i = np.power(1.0 - p, draws[live].astype(float)), np.zeros(len(live)), 0
-        # A probability of no event that underflows to zero never gains mass.
-        lost = term == 0.0
-        found[live[lost]] = draws[live[lost]]
-        live, term, total = live[~lost], term[~lost], total[~lost]
+        # Where the probability of no event underflows, terms advance as logarithms.
+        tiny = term == 0.0
+        log_term = draws[live] * np.log1p(-p)
         while len(live):
-            total = total + term
-            term = term * p / (1.0 - p) * (draws[live] - i) / (i + 1)
+            total = total + np.where(tiny, np.exp(log_term), term)
+            left = (draws[live] - i) / (i + 1)
+            term = term * p / (1.0 - p) * left
+            log_term = log_term + np.log(p / (1.0 - p) * left)
             i += 1
             found[live] = i
             keep = (total < mass) & (i < draws[live])
-            live, term, total = live[keep], term[keep], total[keep]
+            live, term, total, tiny, log_term = (x[keep] for x in (live, term, total, tiny, log_term))
         return pd.Series(found[where])
 
     return cutoff(trials.cast("bigint"))

@@ -158,6 +158,16 @@ def distinct_kmers(
     return rec[first], kmer[first]
 
 
+def distinct_kmers_in_pieces(raw: np.ndarray, k: int, piece: int) -> np.ndarray:
+    """Sorted distinct canonical k-mers of one long record, worked off in overlapping pieces."""
+    found = np.zeros(0, np.uint64)
+    for lo in range(0, max(1, len(raw) - k + 1), piece):
+        part = raw[lo : lo + piece + k - 1]
+        _, kmer = distinct_kmers(part, np.array([0, len(part)]), k)
+        found = np.union1d(found, kmer)
+    return found
+
+
 def count_min_cells(kmers: np.ndarray, log2_width: int) -> np.ndarray:
     """Flat cell number of each k-mer in each of the four rows: shape (4, k-mers)."""
     mask = U((1 << log2_width) - 1)

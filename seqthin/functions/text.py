@@ -17,9 +17,10 @@ def clean_header(raw: Column) -> Column:
 def clean_sequence(raw: Column, strip_blanks: bool = False) -> Column:
     """Joined, uppercased sequence lines.
 
-    Line ends go; with ``strip_blanks`` so does other white space at line ends.
+    Line ends and carriage returns before them go; with ``strip_blanks`` so does other
+    white space at line ends.
     """
-    pattern = r"[ \t\f\x0B\r]*(\n|$)" if strip_blanks else r"[\r\n]+"
+    pattern = r"[ \t\f\x0B\r]*(\n|$)" if strip_blanks else r"\r*(\n|$)"
     return F.upper(F.regexp_replace(raw, pattern, ""))
 
 

@@ -11,10 +11,14 @@ all singleton counts and a new reject set.  If R is right for the first n
 records the new set is right for n + 1, so the iteration ends, at exactly the
 answer of a record-by-record pass; it rarely takes more than a few rounds.
 
-Only cells a possibly rejected record (the *cover*) touches before all others
-can change between rounds.  One more pass over the sequences gathers who touches
-them, combined on the map side; cells with the same holders are then merged, and
-rounds run on what is left.
+Only cells a rejected record touches before all others can change between rounds.
+One more pass over the sequences gathers who touches them: all records of the
+*cover* (those rejected so far, and their copies, which are next in line once the
+first one holds nothing), and of all others the first.  This is combined on the
+map side; cells with the same holders are then merged, and rounds run on what is
+left.  Relatives of a rejected record that merely resemble it stay outside, so the
+table follows the rejected records.  A round that rejects records outside the cover
+widens it.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ from pyspark.sql import functions as F
 from seqthin.config import ReduceConfig
 from seqthin.functions.kernels import CMS_SEEDS
 from seqthin.operators.kmers import count_won_kmers, explode_cells
-from seqthin.operators.signatures import Scheme
 from seqthin.sources.order import ROWS_PER_CHUNK, chunked, running_totals
 from seqthin.workspace import Workspace
 
@@ -114,14 +117,13 @@ def _count_singletons(won: DataFrame, passing: DataFrame, cfg: ReduceConfig) ->
     return count_won_kmers(passing.select(*KEY, "seq").join(lists, KEY), cfg)
 
 
-def _shares_band(profile: DataFrame, some: DataFrame, cfg: ReduceConfig) -> DataFrame:
-    """Records that agree with one of ``some`` on a band of sketch slots."""
-    scheme = Scheme.of(cfg.sketch, cfg.bands, cfg.sketch)
-    toks = profile.where("sketch IS NOT NULL").select(
-        *KEY, F.explode(scheme.keys(F.col("sketch"), [F.col("shard")])).alias("key")
+def _copies(profile: DataFrame, some: DataFrame) -> DataFrame:
+    """Records of the same shard whose sketch equals that of one of ``some``."""
+    keyed = profile.where("sketch IS NOT NULL").select(
+        *KEY, F.xxhash64("shard", "sketch").alias("a"), F.xxhash64(F.lit(1), "shard", "sketch").alias("b")
     )
-    wanted = toks.join(some, KEY, "left_semi").select("key").distinct()
-    return toks.join(wanted, "key", "left_semi").select(*KEY)
+    wanted = keyed.join(some, KEY, "left_semi").select("a", "b").distinct()
+    return keyed.join(wanted, ["a", "b"], "left_semi").select(*KEY)
 
 
 def admit(
@@ -149,7 +151,7 @@ def admit(
         return Admission(rejects, scored, 1)
 
     # Copies of a rejected record become singleton-rich once it holds nothing.
-    cover = ws.table(rejects.unionByName(_shares_band(profile, rejects, cfg)).distinct(), "cover")
+    cover = ws.table(rejects.unionByName(_copies(profile, rejects)).distinct(), "cover")
     view = _Disputed(first, passing, base, usable, cover, cfg, ws, history)
     rounds = 1
     while True:
@@ -169,7 +171,7 @@ def admit(
         if change["moved"] == 0:
             return Admission(rejects, scored, rounds)
         if change["escaped"]:
-            wider = cover.unionByName(latest).unionByName(_shares_band(profile, latest, cfg))
+            wider = cover.unionByName(latest).unionByName(_copies(profile, latest))
             cover = ws.table(wider.distinct(), "cover")
             view = _Disputed(first, passing, base, usable, cover, cfg, ws, history)
         rejects = latest

@@ -29,12 +29,18 @@ def fasta_text(header: Column, seq: Column) -> Column:
 
 
 def write_fasta(records: DataFrame, path: str, by_shard: bool = False) -> None:
-    """Write one FASTA part per task, in a subfolder per shard if asked."""
+    """Write FASTA parts in the order of ``ord``, in a subfolder per shard if asked.
+
+    Parts are ranges of ``ord``; read in the order of their names they give the
+    records in order.
+    """
     value = fasta_text(F.col("header"), F.col("seq")).alias("value")
+    keys = ["shard", "ord"] if by_shard else ["ord"]
+    ordered = records.select(*keys, value).repartitionByRange(*keys).sortWithinPartitions(*keys)
     if by_shard:
-        records.select("shard", value).write.partitionBy("shard").text(path)
+        ordered.drop("ord").write.partitionBy("shard").text(path)
     else:
-        records.select(value).write.text(path)
+        ordered.select("value").write.text(path)
 
 
 def four_places(x: Column) -> Column:

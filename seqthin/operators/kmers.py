@@ -6,19 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqthin.config import ReduceConfig
 from seqthin.functions import kernels
+from seqthin.sources.order import ROWS_PER_CHUNK, running_totals
 
 
 def _kmer_blocks(batch: pa.RecordBatch, k: int, cap: int | None):
     """Slices of a batch with the distinct k-mers of their records."""
     raw, at = kernels.text_buffer(batch.column("seq"))
     for lo, hi in kernels.blocks(np.diff(at), kernels.BASES_PER_BLOCK):
-        rec, kmer = kernels.distinct_kmers(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k, cap)
+        if at[hi] - at[lo] > kernels.BASES_PER_BLOCK and cap is None:
+            kmer = kernels.distinct_kmers_in_pieces(raw[at[lo] : at[hi]], k, kernels.BASES_PER_BLOCK)
+            rec = np.zeros(len(kmer), np.int64)
+        else:
+            rec, kmer = kernels.distinct_kmers(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k, cap)
         yield lo, hi, rec, kmer
 
 
@@ -146,31 +151,23 @@ def count_won_kmers(won: DataFrame, cfg: ReduceConfig) -> DataFrame:
     return kept.mapInArrow(rows, schema)
 
 
-def rare_kmers(kmers: DataFrame, verdicts: DataFrame) -> DataFrame:
+def rare_kmers(
+    kmers: DataFrame, verdicts: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
     """(shard, ord, n_rare): k-mers held by at most ``cutoff`` earlier admitted records.
 
-    ``verdicts`` has (shard, ord, decision, cutoff).  Only the first few holders of a
-    k-mer can find it rare, so a window keeps those and nothing else is ranked.
+    ``verdicts`` has (shard, ord, decision, cutoff).  Holders are counted in two
+    levels, by ranges of ``ord`` and inside them, so that a k-mer all records hold
+    is no task of its own.
     """
-    top = verdicts.agg(F.max("cutoff")).first()[0] or 0
-    touch = kmers.join(verdicts.select("shard", "ord", "decision", "cutoff"), ["shard", "ord"])
-    rank = F.row_number().over(Window.partitionBy("shard", "kmer").orderBy("ord"))
-    early = (
-        touch.where("decision = 'ADMIT'").withColumn("rank", rank).where(F.col("rank") <= top + 1)
+    judged = verdicts.where("decision IN ('ADMIT', 'REJECT')").select("shard", "ord", "decision", "cutoff")
+    touch = kmers.join(judged, ["shard", "ord"]).withColumn(
+        "chunk", F.floor(F.col("ord") / rows_per_chunk)
     )
-    admitted = early.where(F.col("rank") - 1 <= F.col("cutoff")).select("shard", "ord", "kmer")
-    earlier = early.select("shard", "kmer", F.col("ord").alias("holder"))
-    rejected = (
-        touch.where("decision = 'REJECT'")
-        .join(earlier, ["shard", "kmer"], "left")
-        .groupBy("shard", "ord", "kmer", "cutoff")
-        .agg(F.count_if(F.col("holder") < F.col("ord")).alias("before"))
-        .where("before <= cutoff")
-        .select("shard", "ord", "kmer")
-    )
-    found = admitted.unionByName(rejected).groupBy("shard", "ord").agg(F.count("*").alias("n_rare"))
-    scored = verdicts.where("decision IN ('ADMIT', 'REJECT')").select("shard", "ord")
-    return scored.join(found, ["shard", "ord"], "left").fillna(0, ["n_rare"])
+    holds = F.when(F.col("decision") == "ADMIT", 1).otherwise(0).cast("bigint")
+    counted = running_totals(touch, ["shard", "kmer"], "ord", {"before": holds})
+    found = counted.where("before <= cutoff").groupBy("shard", "ord").agg(F.count("*").alias("n_rare"))
+    return judged.select("shard", "ord").join(found, ["shard", "ord"], "left").fillna(0, ["n_rare"])
 
 
 def document_frequency(kmers: DataFrame) -> DataFrame:

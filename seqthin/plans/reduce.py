@@ -35,8 +35,8 @@ class Reduction:
     records: DataFrame  # shard, ord, header, seq
     profile: DataFrame  # shard, ord, header, mbucket, len, n_frac, complete, n_kmers, sketch
     admission: Admission
-    shard_kept: DataFrame  # ord
-    kept: DataFrame  # ord
+    shard_kept: DataFrame | None  # ord
+    kept: DataFrame | None  # ord
 
     @property
     def admitted(self) -> DataFrame:
@@ -65,6 +65,10 @@ class Reduction:
         """One row per record: the admission verdict and its evidence."""
         return decisions(self.profile, self.admission, self.cfg, self.ws)
 
+    def release(self) -> None:
+        """Delete the run's tables; nothing derived from it can be read afterwards."""
+        self.ws.release()
+
 
 def decisions(
     profile: DataFrame, admission: Admission, cfg: ReduceConfig, ws: Workspace
@@ -107,6 +111,21 @@ def decision_lines(rows: DataFrame, with_ratio: bool = True) -> DataFrame:
     )
 
 
+def novelty_lines(rows: DataFrame) -> DataFrame:
+    """Printable novelty decisions of (decision, len, n_frac, novelty, header).
+
+    ``novelty`` is one minus the similarity to the nearest kept record; it is empty
+    for records that are kept or not compared.
+    """
+    return rows.select(
+        "decision",
+        "len",
+        four_places(F.col("n_frac")).alias("n_frac"),
+        four_places(F.col("novelty")).alias("novelty"),
+        "header",
+    )
+
+
 class Reducer:
     """Runs reductions with one configuration."""
 
@@ -139,13 +158,17 @@ class Reducer:
 
     def run(self, records: DataFrame) -> Reduction:
         """Gate, admission, novelty within shards, then novelty across shards."""
+        out = self.gated_admission(records)
+        out.shard_kept, out.kept = self._novelty(out.admitted)
+        return out
+
+    def gated_admission(self, records: DataFrame) -> Reduction:
+        """Gate and admission; the result has no kept records."""
         records = self._limited(self._placed(records))
         quality = with_quality(records, self.cfg)
         profile = self.ws.table(profiles(quality, self.cfg), "profile")
         admission = admit(quality, profile, self.cfg, self.ws, None, self.rows_per_chunk)
-        out = Reduction(self.cfg, self.ws, records, profile, admission, None, None)
-        out.shard_kept, out.kept = self._novelty(out.admitted)
-        return out
+        return Reduction(self.cfg, self.ws, records, profile, admission, None, None)
 
     def admission_only(self, records: DataFrame) -> DataFrame:
         """Admission decisions for every record, without a completeness gate."""

@@ -86,14 +86,16 @@ def with_ordinal(
 def shard_map(
     records: DataFrame, ws: Workspace, shards: int, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
-    """(ord, shard): contiguous shares of the FASTA rendering, by byte offset of the header.
+    """(ord, shard): contiguous shares of the FASTA file, by byte offset of the header.
 
+    ``bytes``, if ``records`` has it, is what each record takes in its file; otherwise
+    two lines are assumed.
     A record belongs to the shard its header starts in; the last shard takes
     what integer division leaves over.
     """
+    two_lines = (F.octet_length("header") + F.octet_length("seq") + 3).cast("bigint")
     sized = records.select(
-        "ord",
-        (F.octet_length("header") + F.octet_length("seq") + 3).cast("bigint").alias("bytes"),
+        "ord", (F.col("bytes") if "bytes" in records.columns else two_lines).alias("bytes")
     )
     sized = chunked(sized, ws, ["ord"], rows_per_chunk)
     share = max(1, (sized.agg(F.sum("bytes")).first()[0] or 0) // shards)

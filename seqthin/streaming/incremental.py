@@ -20,6 +20,7 @@ from seqthin.operators.kmers import profiles
 from seqthin.operators.novelty import keep_novel
 from seqthin.operators.signatures import KEY_LIMIT, novelty_scheme
 from seqthin.plans.reduce import decisions, partition_columns
+from seqthin.sources.fasta import parse_fasta
 from seqthin.sources.order import ROWS_PER_CHUNK, with_ordinal
 from seqthin.workspace import Workspace
 
@@ -32,14 +33,14 @@ STATE = {
 
 
 class IncrementalReducer:
-    """Feeds batches of (header, seq, order columns) through the reduction."""
+    """Feeds batches of (header, seq, order columns), or of FASTA texts, through the reduction."""
 
     def __init__(
         self,
         spark: SparkSession,
         cfg: ReduceConfig,
         state: str,
-        order: tuple[str, ...] = ("file", "block", "row"),
+        order: tuple[str, ...] = ("ord",),
         key_limit: int = KEY_LIMIT,
         rows_per_chunk: int = ROWS_PER_CHUNK,
     ):
@@ -65,8 +66,9 @@ class IncrementalReducer:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Decide one batch and write its state."""
         ws, cfg = Workspace(self.spark), self.cfg
-        if "row" in self.order and "row" not in batch.columns:
-            batch = batch.withColumn("row", F.monotonically_increasing_id())
+        if "value" in batch.columns:
+            texts = ws.table(batch.withColumn("row", F.monotonically_increasing_id()), "texts")
+            batch = parse_fasta(texts)
         records = ws.table(batch.select(F.struct(*self.order).alias("place"), "header", "seq"), "batch")
         sums = self.table("sums", batch_id)
         latest = sums.where(F.col("batch") == (sums.agg(F.max("batch")).first()[0] or 0))
@@ -76,6 +78,8 @@ class IncrementalReducer:
         records = ws.table(
             records.select((F.col("ord") + done).alias("ord"), "header", "seq"), "records"
         )
+        if cfg.limit:
+            records = records.where(F.col("ord") <= cfg.limit)
 
         quality = with_quality(records, cfg)
         profile = ws.table(profiles(quality, cfg), "profile")

@@ -7,26 +7,28 @@ uses to choose join strategies, and keeps plans short.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
-_local_root: str | None = None
+#: Names the folder in a session that is running already and has no such setting.
+OWN_CONF = "seqthin.shared.dir"
+
+
+def named_root(spark: SparkSession) -> str | None:
+    """The folder the session names, if any."""
+    core = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
+    root = core or spark.conf.get(OWN_CONF, None)
+    return root.rstrip("/") if root else None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables; local sessions without one get a temporary one."""
-    root = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CONF} to a folder all executors share")
-    global _local_root
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="run-seqthin-")
-    return _local_root
+    """Folder for intermediate tables."""
+    root = named_root(spark)
+    if not root:
+        raise RuntimeError(f"set {_CONF} or {OWN_CONF} to a folder all executors share")
+    return root
 
 
 class Workspace:

@@ -1,5 +1,6 @@
 """Whole runs against record-by-record answers."""
 
+import glob
 import random
 
 import pytest
@@ -63,19 +64,66 @@ def test_matches_record_by_record(spark, case):
 
 
 @pytest.mark.parametrize("frequency", ["countmin", "exact"])
-def test_mutant_collection(spark, frequency):
-    """600 mutants of one base, warm-up 200: 6 outliers go, 594 stay."""
-    cfg = ReduceConfig(min_len=200, max_n_frac=0.5, warmup=200, frequency=frequency)
-    records = sequential.point_mutants()
+def test_strain_collection(spark, frequency):
+    """Foreign sequences late in a collection of strains are rejected; the checker tells which."""
+    cfg = ReduceConfig(min_len=200, max_n_frac=0.5, warmup=150, frequency=frequency)
+    records = sequential.strain_collection()
     out = Reducer(spark, cfg, key_limit=16).run(spark.createDataFrame(records, SCHEMA))
-    tally = out.report().first()
-    assert (tally["admit"], tally["reject"]) == (594, 6)
     verdicts, _, overall = by_hand(records, cfg, {r[0]: 0 for r in records})
+    rows = out.decisions().collect()
+    assert {r["ord"]: (r["decision"], r["n_singleton"]) for r in rows} == verdicts
+    assert 0 < sum(v[0] == "REJECT" for v in verdicts.values()) <= 24
     assert sorted(r[0] for r in out.kept.collect()) == sorted(overall)
 
 
 def test_limit_counts_per_shard(spark):
-    records = spark.createDataFrame(sequential.point_mutants(60), SCHEMA)
+    records = spark.createDataFrame(sequential.strain_collection(4, 15), SCHEMA)
     cfg = ReduceConfig(min_len=200, warmup=200, limit=10, shards=3)
     seen = Reducer(spark, cfg).run(records).profile.groupBy("shard").count().collect()
     assert sorted(r["count"] for r in seen) == [10, 10, 10]
+
+
+def test_one_reject_disputes_its_own_cells_only(spark):
+    """Relatives of a rejected record stay out of the table the rounds run on."""
+    records = sequential.strain_collection(8, 50)
+    foreign = "".join(random.Random(4).choice("ACGT") for _ in range(480))
+    spliced = records[-1][2][:320] + foreign[:160]
+    records = [r for r in records if "/30|" not in r[1] and "/41|" not in r[1]]
+    records = [(i + 1, h, s) for i, (_, h, s) in enumerate(records)] + [(len(records) + 1, "spliced|none|x", spliced)]
+    cfg = ReduceConfig(min_len=200, max_n_frac=0.5, warmup=100, frequency="exact", outlier_sd=3.0)
+    df = spark.createDataFrame(records, SCHEMA)
+    reducer = Reducer(spark, cfg)
+    out = reducer.gated_admission(df)
+    verdicts = sequential.admit([(o, s) for o, _, s in records], cfg)
+    assert {r["ord"]: (r["decision"], r["n_singleton"]) for r in out.decisions().collect()} == verdicts
+    rejected = [o for o, v in verdicts.items() if v[0] == "REJECT"]
+    assert rejected == [len(records)]
+    covers = glob.glob(f"{reducer.ws.path}/*-cover")
+    assert covers and all(spark.read.parquet(c).count() == 1 for c in covers)
+    assert sum(spark.read.parquet(c).count() for c in glob.glob(f"{reducer.ws.path}/*-disputed")) <= 160
+    out.release()
+    assert not glob.glob(reducer.ws.path)
+
+
+def test_rare_kmers_by_hand(spark):
+    from seqthin.operators import kmers as K
+    from seqthin.operators.gate import with_quality
+
+    cfg = ReduceConfig(k=5, min_len=20, max_n_frac=0.3, warmup=10, outlier_sd=1.0, frequency="exact")
+    records = sequential.random_records(random.Random(31), 80)
+    reducer = Reducer(spark, cfg)
+    df = spark.createDataFrame(records, SCHEMA).withColumn("shard", F.lit(0))
+    cut = F.floor(F.col("ord") / 9).cast("bigint")
+    verdicts = sequential.admit([(o, s) for o, _, s in records], cfg)
+    judged = spark.createDataFrame([(0, o, v[0]) for o, v in verdicts.items()], "shard int, ord bigint, decision string")
+    words = K.explode_kmers(with_quality(df, cfg), cfg, ["shard", "ord"])
+    got = {r["ord"]: r["n_rare"] for r in K.rare_kmers(words, judged.withColumn("cutoff", cut), 7).collect()}
+    held, want = {}, {}
+    for o, _, s in records:
+        if verdicts[o][0] in ("ADMIT", "REJECT"):
+            mine = sequential.kmers(s, cfg.k)
+            want[o] = sum(held.get(w, 0) <= o // 9 for w in mine)
+            if verdicts[o][0] == "ADMIT":
+                for w in mine:
+                    held[w] = held.get(w, 0) + 1
+    assert got == want

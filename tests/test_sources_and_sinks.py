@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqthin.config import ReduceConfig
 from seqthin.operators.emit import emitted, write_fasta, write_tsv
 from seqthin.plans.reduce import Reducer, decision_lines
-from seqthin.sources.fasta import read_fasta
+from seqthin.sources.fasta import parse_fasta, read_fasta, stream_fasta
 from seqthin.sources.order import running_totals, chunked, shard_map, with_ordinal
 from seqthin.workspace import Workspace
 from tests import sequential
@@ -26,6 +26,18 @@ def test_fasta_details(spark, tmp_path):
     ]
     stripped = read_fasta(spark, str(tmp_path / "y.fa"), strip_blanks=True).first()
     assert stripped["seq"] == "GG"
+    (tmp_path / "z.txt").write_bytes(b">tab\t \nA\rC \r\nT\t\n")
+    (row,) = read_fasta(spark, str(tmp_path / "z.txt"), strip_blanks=True).collect()
+    assert (row["header"], row["seq"]) == ("tab", "A\rCT")
+    # A stream of the same files gives the same records.
+    seen = []
+    query = stream_fasta(spark, str(tmp_path / "*.fa")).writeStream.foreachBatch(
+        lambda df, _: seen.extend(map(tuple, parse_fasta(
+            Workspace(spark).table(df.withColumn("row", F.monotonically_increasing_id()), "texts")
+        ).collect()))
+    ).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(seen) == [tuple(r) for r in rows]
 
 
 def test_fasta_order_survives_splits(spark, tmp_path):
@@ -72,6 +84,35 @@ def test_shards_by_bytes(spark):
         at += size
 
 
+def test_shards_of_wrapped_files(spark, tmp_path):
+    """Offsets are those of the file, whatever its line length and line ends."""
+    rng = random.Random(9)
+    text, starts = b"", []
+    for i in range(40):
+        seq = "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 200)))
+        end = "\r\n" if i % 2 else "\n"
+        starts.append(len(text))
+        text += (f">r{i}{end}" + "".join(seq[j : j + 30] + end for j in range(0, len(seq), 30))).encode()
+    (tmp_path / "w.fa").write_bytes(text)
+    records = read_fasta(spark, str(tmp_path / "w.fa"), with_bytes=True)
+    got = {r["ord"]: r["shard"] for r in shard_map(records, Workspace(spark), 3, 9).collect()}
+    sizes = [b - a for a, b in zip(starts, [*starts[1:], len(text) + 1])]
+    share = sum(sizes) // 3
+    assert got == {i + 1: min(at // share, 2) for i, at in enumerate(starts)}
+
+
+def test_parts_keep_the_order(spark, tmp_path):
+    rows = [(i, f"r{i}", "ACGT") for i in range(400)]
+    records = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        write_fasta(emitted(records, records.where("ord % 3 = 0")), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [l for p in sorted((tmp_path / "out").glob("part-*")) for l in p.read_text().splitlines()]
+    assert lines[::2] == [f">r{i}" for i in range(0, 400, 3)]
+
+
 def test_emission(spark, tmp_path):
     rows = [(1, "a|x", "ACGT"), (2, "b|x", "CC"), (3, "a|x", "NN"), (4, "h" * 255 + "1", "A"), (5, "h" * 255 + "2", "C")]
     records = spark.createDataFrame(rows, SCHEMA).withColumn("shard", F.col("ord") % 2)

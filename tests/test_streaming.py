@@ -30,6 +30,15 @@ def test_batches_equal_one_run(spark, tmp_path):
     assert sorted(r["ord"] for r in runner.table("kept").collect()) == sorted(r["ord"] for r in whole.kept.collect())
 
 
+def test_limit(spark, tmp_path):
+    cfg = ReduceConfig(k=5, min_len=20, warmup=5, sketch=16, frequency="exact", limit=30)
+    records = sequential.random_records(random.Random(13), 50)
+    runner = IncrementalReducer(spark, cfg, str(tmp_path / "state"), order=("ord",))
+    for batch, (lo, hi) in enumerate(((0, 20), (20, 50))):
+        runner.process(spark.createDataFrame(records[lo:hi], SCHEMA), batch)
+    assert sorted(r["ord"] for r in runner.table("decisions").collect()) == list(range(1, 31))
+
+
 def test_stream_of_files(spark, tmp_path):
     cfg = ReduceConfig(k=5, min_len=20, warmup=10, outlier_sd=1.0, sketch=16, threshold=0.25, cms_log2_width=9)
     records = sequential.random_records(random.Random(12), 50)
