@@ -16,21 +16,23 @@ from seqthin.functions.calibrate import (
 from seqthin.operators.signatures import compare, novelty_scheme, pairs_between, tokens
 
 
-def related_pairs(
-    sketches: DataFrame, kept: DataFrame, cfg: ReduceConfig, similarity: float
-) -> DataFrame:
-    """(i, j, equal): kept i and any other j that share a band, more similar than given.
+def best_related(sketches: DataFrame, kept: DataFrame, cfg: ReduceConfig) -> DataFrame:
+    """(j, i, equal): for every record the kept one most like it among those that share a band.
 
-    Records are related to the kept ones only, as novelty does, never all to all.
+    The earliest of equally similar ones is taken; a record is not related to itself,
+    and one that shares no band with a kept record has no row.
     """
-    scheme = novelty_scheme(cfg.sketch, cfg.bands, 1.0 - similarity)
+    scheme = novelty_scheme(cfg.sketch, cfg.bands, cfg.threshold)
     toks = tokens(sketches, scheme, [])
     pairs = pairs_between(toks, toks.join(kept, "ord", "left_semi"))
-    return compare(pairs, sketches, scheme.need)
+    best = compare(pairs, sketches, 0).groupBy("j").agg(
+        F.max_by("i", F.struct("equal", -F.col("i"))).alias("i"), F.max("equal").alias("equal")
+    )
+    return best.select("j", "i", "equal")
 
 
 def suggest(pairs: DataFrame, cfg: ReduceConfig) -> DataFrame:
-    """Median divergence of related pairs and the settings that match it.
+    """Median divergence of related records and the settings that match it.
 
     The divergence of a pair is ``-ln(2j / (1 + j)) / k`` for similarity j.
     """

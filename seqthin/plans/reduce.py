@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,9 +158,12 @@ class Reducer:
 
     def run(self, records: DataFrame) -> Reduction:
         """Gate, admission, novelty within shards, then novelty across shards."""
-        out = self.gated_admission(records)
-        out.shard_kept, out.kept = self._novelty(out.admitted)
-        return out
+        return self.with_novelty(self.gated_admission(records))
+
+    def with_novelty(self, gated: Reduction) -> Reduction:
+        """The result of :meth:`gated_admission`, taken to its end."""
+        shard_kept, kept = self._novelty(gated.admitted)
+        return replace(gated, shard_kept=shard_kept, kept=kept)
 
     def gated_admission(self, records: DataFrame) -> Reduction:
         """Gate and admission; the result has no kept records."""

@@ -53,7 +53,7 @@ def main(sf, names):
     assert set(sqls) <= set(contract.queries())
     failed = []
     for name, query in contract.queries().items():
-        if names and name not in names:
+        if name not in sqls or (names and name not in names):
             continue
         try:
             said, mine, theirs = check(spark, name, query, sqls[name], sf, con)

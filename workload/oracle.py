@@ -230,9 +230,14 @@ FROM {out}_walk w JOIN {out}_nb n ON n.rn = w.rn + 1"""),
     ]
 
 
+def need(cfg) -> int:
+    """Equal slots that make a pair redundant: more than one minus the threshold of them."""
+    return next(n for n in range(cfg.sketch + 2) if n / cfg.sketch > 1.0 - cfg.threshold)
+
+
 def reduced(cfg, part="mbucket") -> list[tuple[str, str]]:
     return [
-        *base(cfg), *admission(cfg), *sketches(cfg, "admitted"), *edges(cfg, 55, part=part), *greedy(),
+        *base(cfg), *admission(cfg), *sketches(cfg, "admitted"), *edges(cfg, need(cfg), part=part), *greedy(),
     ]
 
 
@@ -249,15 +254,15 @@ SELECT ord, least(coalesce(sum(bytes) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED
         source += admission(cfg, shards=True)
     source += sketches(cfg, "gated" if ungated else "admitted")
     source += [("shard_sk", "SELECT sk.*, shard FROM sk JOIN shards USING (ord)")]
-    source += edges(cfg, 55, "shard_sk", "shard", "local") + greedy("local", "shard_sk", "local_kept")
-    source += edges(cfg, 55, "local_kept", "0", "merge") + greedy("merge", "local_kept", "kept")
+    source += edges(cfg, need(cfg), "shard_sk", "shard", "local") + greedy("local", "shard_sk", "local_kept")
+    source += edges(cfg, need(cfg), "local_kept", "0", "merge") + greedy("merge", "local_kept", "kept")
     return source
 
 
 def exact_neighbours() -> list[tuple[str, str]]:
     cfg = Q.STRICT
     return [
-        *base(cfg), *sketches(cfg), *all_pairs(cfg, 55), *greedy(),
+        *base(cfg), *sketches(cfg), *all_pairs(cfg, need(cfg)), *greedy(),
         ("nearest", """
 SELECT j AS ord, arg_max(i, equal * 100000000 - i) AS rep, max(equal) AS equal
 FROM edges WHERE i IN (SELECT ord FROM kept) AND j NOT IN (SELECT ord FROM kept) GROUP BY j"""),
@@ -279,7 +284,7 @@ def shuffled(x: str, order: int) -> str:
 
 def study() -> list[tuple[str, str]]:
     cfg = Q.BASE
-    out = [*base(cfg), *sketches(cfg), *all_pairs(cfg, 55, name="alike")]
+    out = [*base(cfg), *sketches(cfg), *all_pairs(cfg, need(cfg), name="alike")]
     for o in range(Q.ORDERS):
         place = "SELECT ord, s, ord::UBIGINT AS o FROM sk" if o == 0 else shuffled("sk", o)
         out += [
@@ -342,16 +347,20 @@ def oracle() -> dict[str, str]:
         ("cells", "SELECT ord, 0 AS shard, kmer, cms_row, col FROM kmers JOIN word_cells USING (kmer)"),
         *admission(countmin_cfg),
     ]
-    counters = [*base(), *cells(wide), ("counters", "SELECT cms_row, col, count(*) AS n FROM kmers JOIN word_cells USING (kmer) GROUP BY ALL")]
+    passed = ("passed", "SELECT k.ord, k.kmer FROM kmers k JOIN scored s USING (ord) WHERE NOT s.reject")
+    held = [*base(), *admission(B), passed]
+    counters = [*held, *cells(wide), ("counters", "SELECT cms_row, col, count(*) AS n FROM passed JOIN word_cells USING (kmer) GROUP BY ALL")]
     exact, shard = exact_neighbours(), sharded(Q.SHARDED)
     alone = sharded(Q.SHARDED, UNGATED, ungated=True)
     decided = "SELECT ord, decision, coalesce(n_singleton, -1) AS n_singleton FROM decisions"
     related = [*reduced(Q.FLAT, "0"), ("near", f"""
-SELECT * FROM (SELECT i, j, {EQUAL} AS equal FROM (SELECT DISTINCT a.ord AS i, b.ord AS j FROM edges_bands a JOIN edges_bands b USING (part, band, rows)
-  WHERE a.ord <> b.ord AND a.ord IN (SELECT ord FROM kept)) JOIN sk a ON a.ord = i JOIN sk b ON b.ord = j) WHERE equal > 32""")]
+SELECT j, arg_max(i, equal * 100000000 - i) AS i, max(equal) AS equal
+FROM (SELECT i, j, {EQUAL} AS equal FROM (SELECT DISTINCT a.ord AS i, b.ord AS j FROM edges_bands a JOIN edges_bands b USING (part, band, rows)
+  WHERE a.ord <> b.ord AND a.ord IN (SELECT ord FROM kept)) JOIN sk a ON a.ord = i JOIN sk b ON b.ord = j) GROUP BY j""")]
     return {
         "derive_sequences": seq + "SELECT ord, header, seq FROM seqs",
         "fasta_round_trip": seq + "SELECT ord, header, seq FROM seqs",
+        "fasta_stripped": seq + "SELECT ord, header, seq FROM seqs",
         "seq_stats": all_ + "SELECT ord, length(seq) AS len, acgt, n_frac FROM stats",
         "completeness_gate": gate + "SELECT s.ord, CASE WHEN g.ord IS NULL THEN 'LOWQUAL' ELSE 'OK' END AS status FROM stats s LEFT JOIN gated g USING (ord)",
         "gate_report": gate + """SELECT count(*) AS seen, count(*) - (SELECT count(*) FROM gated) AS lowqual, sum(length(seq))::BIGINT AS bases,
@@ -364,17 +373,17 @@ FROM (SELECT ord, unnest(regexp_split_to_array(seq, '[^ACGT]+')) AS run FROM seq
         "kmer_counts": km("SELECT ord, coalesce(n_kmers, 0) AS n_kmers FROM gated LEFT JOIN nk USING (ord)"),
         "kmer_cap": km(f"""SELECT ord, coalesce(n, 0) AS n_kmers FROM gated LEFT JOIN (SELECT ord, count(DISTINCT kmer) AS n FROM
   (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY pos) AS rn FROM occurrences) WHERE rn <= {Q.CAP} GROUP BY ord) USING (ord)"""),
-        "kmer_df": km("SELECT df, count(*) AS kmers FROM (SELECT kmer, count(*) AS df FROM kmers GROUP BY kmer) GROUP BY df"),
-        "kmer_letters": with_(SEQS, STATS, gated(B), WINDOWS) + """
-SELECT kmer, count(*) AS df FROM (SELECT DISTINCT ord, least(w, translate(reverse(w), 'ACGT', 'TGCA')) AS kmer FROM windows WHERE position('N' IN w) = 0)
-GROUP BY kmer ORDER BY df DESC, kmer LIMIT 20""",
-        "corpus_distinct_kmers": km("SELECT count(DISTINCT kmer) AS distinct_kmers FROM kmers"),
+        "kmer_df": with_(*held) + "SELECT df, count(*) AS kmers FROM (SELECT kmer, count(*) AS df FROM passed GROUP BY kmer) GROUP BY df",
+        "kmer_letters": with_(*base(), *admission(B)) + """
+SELECT kmer, count(*) AS df FROM (SELECT DISTINCT ord, least(w, translate(reverse(w), 'ACGT', 'TGCA')) AS kmer
+  FROM windows JOIN scored USING (ord) WHERE position('N' IN w) = 0 AND NOT reject) GROUP BY kmer""",
+        "corpus_distinct_kmers": with_(*held) + "SELECT count(DISTINCT kmer) AS distinct_kmers FROM passed",
         "kmer_first_seen": km("SELECT ord, count(*) AS first_seen FROM (SELECT kmer, min(ord) AS ord FROM kmers GROUP BY kmer) GROUP BY ord"),
         "mix64_hash": f"SELECT doc_id, lpad(hex(mixed), 16, '0') AS mixed FROM ({mix64('documents', 'doc_id', 'doc_id', kernels.CMS_SEEDS[0])})",
         "cms_counters": with_(*counters) + "SELECT cms_row, col, n FROM counters",
         "cms_point_query": with_(*counters) + """SELECT estimate - df AS excess, count(*) AS kmers FROM
 (SELECT kmer, min(n) AS estimate FROM word_cells JOIN counters USING (cms_row, col) GROUP BY kmer)
-JOIN (SELECT kmer, count(*) AS df FROM kmers GROUP BY kmer) USING (kmer) GROUP BY ALL""",
+JOIN (SELECT kmer, count(*) AS df FROM passed GROUP BY kmer) USING (kmer) GROUP BY ALL""",
         "admission_round1": with_(*base(), HELD, *scoring(B, 0)) + "SELECT ord, n_singleton, n_prior, round(mean, 6) AS mean, round(deviation, 6) AS deviation, reject FROM test0",
         "admission_final": with_(*base(), *admission(B), DECISIONS) + decided,
         "admission_countmin": with_(*countmin, DECISIONS) + decided,
@@ -382,6 +391,9 @@ JOIN (SELECT kmer, count(*) AS df FROM kmers GROUP BY kmer) USING (kmer) GROUP B
         "decision_tsv": with_(*ungated, DECISIONS, *cutoffs(B), recursive=True) + """
 SELECT decision, len, printf('%.4f', n_frac) AS n_frac, n_kmers, n_singleton,
   printf('%.4f', n_singleton::DOUBLE / greatest(1, n_kmers)::DOUBLE) AS singleton_frac, cutoff, header
+FROM decisions JOIN cuts ON n = greatest(1, ord - 1) WHERE decision IN ('ADMIT', 'REJECT')""",
+        "decision_tsv_plain": with_(*ungated, DECISIONS, *cutoffs(B), recursive=True) + """
+SELECT decision, len, printf('%.4f', n_frac) AS n_frac, n_kmers, n_singleton, cutoff, header
 FROM decisions JOIN cuts ON n = greatest(1, ord - 1) WHERE decision IN ('ADMIT', 'REJECT')""",
         "binomial_cutoffs": with_(SEQS, STATS, *cutoffs(B), recursive=True) + "SELECT ord, cutoff FROM stats JOIN cuts ON n = greatest(1, ord - 1)",
         "rare_kmer_counts": with_(*base(), *admission(B), *cutoffs(B), ("held_df", """
@@ -391,21 +403,23 @@ SELECT ord, count_if(df <= cutoff)::BIGINT AS n_rare FROM held_df JOIN cuts ON n
         "minhash_sketch": with_(*base(), *sketches(B)) + f"SELECT ord, {sketch_text(B)} AS sketch FROM sk",
         "minhash_pcg64": with_(*base(Q.STRICT), *sketches(Q.STRICT)) + f"SELECT ord, {sketch_text(B)} AS sketch FROM sk",
         "lsh_bands": band_fold(),
-        "jaccard_pairs": with_(*related, recursive=True) + "SELECT i, j, equal, equal::DOUBLE / 64 AS jaccard FROM near",
-        "candidate_pairs": with_(*reduced(Q.FLAT, "0"), recursive=True) + "SELECT i, j, equal FROM edges WHERE i IN (SELECT ord FROM kept)",
+        "jaccard_pairs": with_(*related, recursive=True) + f"SELECT i, j, equal, equal::DOUBLE / {B.sketch} AS jaccard FROM near",
+        "candidate_pairs": with_(*reduced(Q.FLAT, "0"), recursive=True) + """SELECT arg_max(i, equal * 100000000 - i) AS i, j, max(equal) AS equal FROM edges
+WHERE i IN (SELECT ord FROM kept) AND j NOT IN (SELECT ord FROM kept) GROUP BY j""",
         "novelty_promoted": flow("SELECT ord, header, a.mbucket, n_kmers FROM admitted a JOIN nk USING (ord) WHERE ord IN (SELECT ord FROM kept)"),
         "novelty_by_month": flow("SELECT mbucket, count(*) AS promoted FROM kept GROUP BY mbucket"),
         "novelty_undivided": with_(*reduced(Q.FLAT, "0"), recursive=True) + "SELECT ord FROM kept",
         "novelty_only": with_(*alone, recursive=True) + "SELECT ord, shard, ord IN (SELECT ord FROM kept) AS kept FROM local_kept",
         "novelty_exact_nn": with_(*exact, recursive=True) + """SELECT ord, CASE WHEN rep IS NULL THEN 'PROMOTE' ELSE 'DROP' END AS decision, coalesce(rep, ord) AS rep,
-  coalesce(1.0::DOUBLE - equal::DOUBLE / 64, 1.0::DOUBLE) AS novelty FROM sk LEFT JOIN nearest USING (ord)""",
+  1.0::DOUBLE - equal::DOUBLE / {m} AS novelty FROM sk LEFT JOIN nearest USING (ord)""".format(m=Q.STRICT.sketch),
         "cluster_counts": with_(*exact, recursive=True) + "SELECT rep, count(*) AS members FROM (SELECT ord AS rep FROM kept UNION ALL SELECT rep FROM nearest) GROUP BY rep",
         "cluster_sizes_by_month": with_(*reduced(B), ("nearest", """
 SELECT j AS ord, arg_max(i, equal * 100000000 - i) AS rep FROM edges WHERE i IN (SELECT ord FROM kept) AND j NOT IN (SELECT ord FROM kept) GROUP BY j"""), recursive=True)
         + "SELECT rep, count(*) AS members FROM (SELECT ord AS rep FROM kept UNION ALL SELECT rep FROM nearest) GROUP BY rep",
         "sampled_drops": with_(*exact, recursive=True) + f"""
-SELECT decision, length(seq) AS len, printf('%.4f', n_frac) AS n_frac, header FROM (
-SELECT s.*, CASE WHEN g.ord IS NULL THEN 'LOWQUAL' WHEN k.ord IS NULL THEN NULL WHEN n.rep IS NULL THEN 'PROMOTE' ELSE 'DROP' END AS decision
+SELECT decision, length(seq) AS len, printf('%.4f', n_frac) AS n_frac,
+  CASE WHEN equal IS NOT NULL THEN printf('%.4f', 1.0::DOUBLE - equal::DOUBLE / {Q.STRICT.sketch}) END AS novelty, header FROM (
+SELECT s.*, n.equal, CASE WHEN g.ord IS NULL THEN 'LOWQUAL' WHEN k.ord IS NULL THEN NULL WHEN n.rep IS NULL THEN 'PROMOTE' ELSE 'DROP' END AS decision
 FROM stats s LEFT JOIN gated g USING (ord) LEFT JOIN sk k USING (ord) LEFT JOIN nearest n USING (ord))
 WHERE decision = 'PROMOTE' OR (decision IS NOT NULL AND ord % {Q.SAMPLE_EVERY} = 0)""",
         "shards_by_bytes": with_(*sharded(Q.SHARDED)[:9]) + "SELECT ord, shard FROM shards",
@@ -425,7 +439,7 @@ WHERE key IN (SELECT split_part(header, '|', 3) || '|' || length(seq) FROM admit
         "mutual_coverage": with_(*study(), recursive=True) + "SELECT * FROM cover",
         "order_verdict": with_(*study(), recursive=True) + """SELECT avg(share) AS mean_coverage, min(share) AS min_coverage, any_value(drift) AS drift,
   avg(share) > 0.98 AND any_value(drift) < 0.10 AS equivalent FROM cover, counts""",
-        "calibration": with_(*related, ("dist", "SELECT -ln(2 * x / (1 + x)) / 15 AS d FROM (SELECT equal::DOUBLE / 64 AS x FROM near)"),
+        "calibration": with_(*related, ("dist", f"SELECT -ln(2 * x / (1 + x)) / {B.k} AS d FROM (SELECT equal::DOUBLE / {B.sketch} AS x FROM near)"),
             ("med", "SELECT count(*) AS pairs, median(d) AS m FROM dist"), recursive=True) + f"""
 SELECT pairs, round(m, 9) AS median_divergence, round(30 * m, 9) AS suggested_threshold, round({B.threshold}::DOUBLE / 30, 9) AS boundary,
   round(1.0::DOUBLE / 64, 9) AS slot_resolution, round(1.0::DOUBLE / (30 * 64), 9) AS floor, 512::BIGINT AS bytes_per_record, 1.0::DOUBLE / 64 < m AS resolves FROM med""",

@@ -1,8 +1,8 @@
 """Queries over the driver's tables, one or more per operator.
 
-The tables hold prose, so sequences are derived from ``documents``.  Records
-and reductions that several queries share are computed once per session and
-input folder; ``forget`` drops them.
+The tables hold prose, so sequences are derived from ``documents``.  Reductions
+that several queries share, and the sequences they read again and again, are
+written once per session and input; ``forget`` drops them.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from seqthin.functions.similarity import sketch_hex
 from seqthin.operators import kmers as K
 from seqthin.operators.admission import first_holders, outlier_test, _count_singletons
 from seqthin.operators.clusters import cluster_sizes, nearest_kept
-from seqthin.operators.emit import emitted, fasta_text, four_places, write_fasta
+from seqthin.operators.emit import emitted, fasta_text, write_fasta
 from seqthin.operators.gate import with_quality
-from seqthin.plans.calibration import related_pairs, suggest
-from seqthin.plans.reduce import Reducer, decision_lines, exact_scheme
+from seqthin.plans.calibration import best_related, suggest
+from seqthin.plans.reduce import Reducer, decision_lines, exact_scheme, novelty_lines
 from seqthin.plans.validate import study_orders
 from seqthin.sources.fasta import read_fasta, stream_fasta
 from seqthin.sources.order import chunked, shard_map, with_ordinal
@@ -42,7 +42,6 @@ CAP = 200
 SHARD_LIMIT = 100
 SKETCH_LIMIT = 300
 ORDERS = 3
-RELATED = 0.5
 SAMPLE_EVERY = 50
 
 _shared: dict = {}
@@ -52,15 +51,27 @@ def forget() -> None:
     _shared.clear()
 
 
+def _version(spark: SparkSession, sf: str) -> tuple:
+    """What tells a changed input from the one seen before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    return sf, status.getModificationTime(), status.getLen()
+
+
 def _once(spark: SparkSession, sf: str, what, make):
-    key = (spark.sparkContext.applicationId, sf, what)
+    key = (spark.sparkContext.applicationId, _version(spark, sf), what)
     if key not in _shared:
         _shared[key] = make()
     return _shared[key]
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """The derived sequences as a table spread over all cores."""
+    """The derived sequences, as expressions over the documents."""
+    return document_sequences(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"))
+
+
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The derived sequences as a table spread over all cores, for work that takes several passes."""
 
     def make():
         docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
@@ -73,19 +84,33 @@ def quality(spark, sf, cfg=BASE):
     return with_quality(records(spark, sf), cfg)
 
 
+def gated(spark, sf, cfg=BASE):
+    """Gate and admission."""
+    return _once(spark, sf, ("gated", cfg), lambda: Reducer(spark, cfg).gated_admission(stored(spark, sf)))
+
+
 def reduction(spark, sf, cfg=BASE):
-    return _once(spark, sf, cfg, lambda: Reducer(spark, cfg).run(records(spark, sf)))
+    return _once(spark, sf, cfg, lambda: Reducer(spark, cfg).with_novelty(gated(spark, sf, cfg)))
 
 
 def profile(spark, sf, cfg=BASE):
     def make():
-        return Workspace(spark).table(K.profiles(quality(spark, sf, cfg), cfg), "profile")
+        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+        spaced = with_quality(document_sequences(spread(docs, "doc_id")), cfg)
+        return Workspace(spark).table(K.profiles(spaced, cfg), "profile")
 
     return _once(spark, sf, ("profile", cfg), make)
 
 
 def kmers(spark, sf, cfg=BASE):
-    return K.explode_kmers(quality(spark, sf, cfg), cfg, ["shard", "ord"])
+    return K.explode_kmers(with_quality(stored(spark, sf), cfg), cfg, ["shard", "ord"])
+
+
+def admitted_kmers(spark, sf, cfg=BASE):
+    """k-mers of the records that admission lets pass."""
+    rejects = gated(spark, sf, cfg).admission.rejects
+    rows = with_quality(stored(spark, sf), cfg).join(rejects, ["shard", "ord"], "left_anti")
+    return K.explode_kmers(rows, cfg, ["shard", "ord"])
 
 
 def sketches(spark, sf, cfg=BASE):
@@ -104,13 +129,28 @@ def fasta_round_trip(spark, sf):
 
     def make():
         path = f"{Workspace(spark).path}/fasta"
-        write_fasta(records(spark, sf).repartitionByRange(3, "ord").sortWithinPartitions("ord"), path)
+        write_fasta(records(spark, sf), path)
         return path
 
     back = read_fasta(spark, _once(spark, sf, "fasta", make))
     return back.select("ord", "header", "seq")
 
 
+def fasta_stripped(spark, sf):
+    """Files with blanks and tabs at line ends, read without them."""
+
+    def make():
+        path = f"{Workspace(spark).path}/fasta"
+        padded = records(spark, sf).select(
+            "ord", F.concat("header", F.lit(" \t")).alias("header"), F.concat("seq", F.lit("\t  ")).alias("seq")
+        )
+        write_fasta(padded, path)
+        return path
+
+    back = read_fasta(spark, _once(spark, sf, "padded fasta", make), strip_blanks=True)
+    return back.select("ord", "header", "seq")
+
+
 def seq_stats(spark, sf):
     return quality(spark, sf).select(
         "ord", "len", text.acgt_count(F.col("seq")).alias("acgt"), "n_frac"
@@ -168,26 +208,24 @@ def kmer_cap(spark, sf):
 
 
 def kmer_df(spark, sf):
-    """How many k-mers occur in how many records."""
-    df = K.document_frequency(kmers(spark, sf))
+    """How many k-mers occur in how many admitted records."""
+    df = K.document_frequency(admitted_kmers(spark, sf))
     return df.groupBy("df").agg(F.count("*").alias("kmers"))
 
 
 def kmer_letters(spark, sf):
-    """The most frequent k-mers as letters."""
-    df = K.document_frequency(kmers(spark, sf))
-    return df.orderBy(F.desc("df"), "kmer").limit(20).select(
-        text.kmer_text(F.col("kmer"), BASE.k).alias("kmer"), "df"
-    )
+    """All k-mers of admitted records as letters, with their document frequency."""
+    df = K.document_frequency(admitted_kmers(spark, sf))
+    return df.select(text.kmer_text(F.col("kmer"), BASE.k).alias("kmer"), "df")
 
 
 def corpus_distinct_kmers(spark, sf):
-    return kmers(spark, sf).agg(F.countDistinct("kmer").alias("distinct_kmers"))
+    return admitted_kmers(spark, sf).agg(F.countDistinct("kmer").alias("distinct_kmers"))
 
 
 def kmer_first_seen(spark, sf):
     """k-mers each record is the first to hold."""
-    first = first_holders(quality(spark, sf), BASE)
+    first = first_holders(with_quality(stored(spark, sf), BASE), BASE)
     return first.groupBy("ord").agg(F.count("*").alias("first_seen"))
 
 
@@ -198,7 +236,7 @@ def mix64_hash(spark, sf):
 
 
 def cms_counters(spark, sf):
-    counters = K.count_min_counters(kmers(spark, sf), COUNTMIN)
+    counters = K.count_min_counters(admitted_kmers(spark, sf), COUNTMIN)
     width = 1 << COUNTMIN.cms_log2_width
     return counters.select(
         F.floor(F.col("cell") / width).alias("cms_row"), (F.col("cell") % width).alias("col"), "n"
@@ -207,7 +245,7 @@ def cms_counters(spark, sf):
 
 def cms_point_query(spark, sf):
     """Count-Min estimates against true document frequencies."""
-    words = kmers(spark, sf)
+    words = admitted_kmers(spark, sf)
     estimate = K.count_min_estimate(words, K.count_min_counters(words, COUNTMIN), COUNTMIN)
     both = estimate.join(K.document_frequency(words), ["shard", "kmer"])
     return both.groupBy((F.col("estimate") - F.col("df")).alias("excess")).agg(F.count("*").alias("kmers"))
@@ -218,7 +256,7 @@ def cms_point_query(spark, sf):
 
 def admission_round1(spark, sf):
     """Singletons and running statistics with every record counted as a holder."""
-    q = quality(spark, sf)
+    q = with_quality(stored(spark, sf), BASE)
     base = profile(spark, sf).where("complete AND n_kmers > 0").select("shard", "ord")
     counts = _count_singletons(first_holders(q, BASE), q, BASE)
     base = base.join(counts, ["shard", "ord"], "left").fillna(0, ["n_singleton"])
@@ -230,11 +268,11 @@ def admission_round1(spark, sf):
 
 
 def admission_final(spark, sf):
-    return _verdicts(reduction(spark, sf).decisions())
+    return _verdicts(gated(spark, sf).decisions())
 
 
 def admission_countmin(spark, sf):
-    return _verdicts(Reducer(spark, COUNTMIN).admission_only(records(spark, sf)))
+    return _verdicts(Reducer(spark, COUNTMIN).admission_only(stored(spark, sf)))
 
 
 def admission_ungated(spark, sf):
@@ -247,13 +285,18 @@ def _verdicts(rows):
 
 
 def _ungated(spark, sf):
-    return _once(spark, sf, "ungated", lambda: Reducer(spark, BASE).admission_only(records(spark, sf)))
+    return _once(spark, sf, "ungated", lambda: Reducer(spark, BASE).admission_only(stored(spark, sf)))
 
 
 def decision_tsv(spark, sf):
     return decision_lines(_ungated(spark, sf))
 
 
+def decision_tsv_plain(spark, sf):
+    """Without the share of singletons."""
+    return decision_lines(_ungated(spark, sf), with_ratio=False)
+
+
 def binomial_cutoffs(spark, sf):
     return records(spark, sf).select(
         "ord", binomial_cutoff(F.greatest(F.lit(1), F.col("ord") - 1), BASE.err_rate, BASE.cutoff_mass).alias("cutoff")
@@ -261,7 +304,7 @@ def binomial_cutoffs(spark, sf):
 
 
 def rare_kmer_counts(spark, sf):
-    return K.rare_kmers(kmers(spark, sf), reduction(spark, sf).decisions()).select("ord", "n_rare")
+    return K.rare_kmers(kmers(spark, sf), gated(spark, sf).decisions()).select("ord", "n_rare")
 
 
 # --- sketches and novelty -----------------------------------------------------------------
@@ -281,20 +324,21 @@ def lsh_bands(spark, sf):
     return rows.select("ord", "band", F.lpad(F.hex("key"), 16, "0").alias("key"))
 
 
-def _related(spark, sf, similarity):
+def _related(spark, sf):
     out = reduction(spark, sf, FLAT)
-    return related_pairs(out.admitted.select("ord", "sketch"), out.kept, FLAT, similarity)
+    return best_related(out.admitted.select("ord", "sketch"), out.kept, FLAT)
 
 
 def jaccard_pairs(spark, sf):
-    """Records that share a band with a kept one and are more than half similar to it."""
-    pairs = _related(spark, sf, RELATED)
+    """Every record with the kept one most like it, of those that share a band with it."""
+    pairs = _related(spark, sf)
     return pairs.select("i", "j", "equal", (F.col("equal") / BASE.sketch).alias("jaccard"))
 
 
 def candidate_pairs(spark, sf):
-    """What drops records: an earlier kept one with a shared band, within the threshold."""
-    return _related(spark, sf, 1.0 - BASE.threshold).where("i < j").select("i", "j", "equal")
+    """What drops records: the most similar earlier kept one, within the threshold."""
+    nearest = reduction(spark, sf, FLAT).nearest()
+    return nearest.select(F.col("rep").alias("i"), F.col("ord").alias("j"), "equal")
 
 
 def novelty_promoted(spark, sf):
@@ -311,7 +355,7 @@ def novelty_undivided(spark, sf):
 
 def novelty_only(spark, sf):
     """No gate, no admission, no months; two phases over four shards."""
-    prof, local, overall = Reducer(spark, SHARDED).novelty_only(records(spark, sf))
+    prof, local, overall = Reducer(spark, SHARDED).novelty_only(stored(spark, sf))
     shards = prof.select("ord", "shard").join(local, "ord", "left_semi")
     return shards.join(overall.withColumn("kept", F.lit(True)), "ord", "left").select(
         "ord", "shard", F.coalesce("kept", F.lit(False)).alias("kept")
@@ -319,7 +363,7 @@ def novelty_only(spark, sf):
 
 
 def _exact(spark, sf):
-    return _once(spark, sf, "exact", lambda: Reducer(spark, STRICT).exact_neighbours(records(spark, sf)))
+    return _once(spark, sf, "exact", lambda: Reducer(spark, STRICT).exact_neighbours(stored(spark, sf)))
 
 
 def _exact_nearest(spark, sf):
@@ -329,7 +373,11 @@ def _exact_nearest(spark, sf):
 
 
 def novelty_exact_nn(spark, sf):
-    """Decisions against every kept record: a dropped one's nearest and its score."""
+    """Decisions against every kept record: a dropped one's nearest and its score.
+
+    Kept records have no score: it decides nothing, and finding it would mean to
+    compare all kept records with each other.
+    """
     prof, kept = _exact(spark, sf)
     base = prof.where("sketch IS NOT NULL").select("ord")
     rows = base.join(_exact_nearest(spark, sf), "ord", "left")
@@ -337,7 +385,7 @@ def novelty_exact_nn(spark, sf):
         "ord",
         F.when(F.col("rep").isNull(), "PROMOTE").otherwise("DROP").alias("decision"),
         F.coalesce("rep", "ord").alias("rep"),
-        F.coalesce(1.0 - F.col("equal") / STRICT.sketch, F.lit(1.0)).alias("novelty"),
+        (1.0 - F.col("equal") / STRICT.sketch).alias("novelty"),
     )
 
 
@@ -354,16 +402,14 @@ def sampled_drops(spark, sf):
     )
     rows = with_ordinal(rows, Workspace(spark), "ord", "n")
     kept = (F.col("decision") == "PROMOTE") | (F.col("n") % SAMPLE_EVERY == 0)
-    return rows.where(F.col("decision").isNotNull() & kept).select(
-        "decision", "len", four_places(F.col("n_frac")).alias("n_frac"), "header"
-    )
+    return novelty_lines(rows.where(F.col("decision").isNotNull() & kept))
 
 
 # --- shards, emission, reports ------------------------------------------------------------
 
 
 def shards_by_bytes(spark, sf):
-    return shard_map(records(spark, sf), Workspace(spark), SHARDED.shards)
+    return shard_map(stored(spark, sf), Workspace(spark), SHARDED.shards)
 
 
 def sharded_promoted(spark, sf):
@@ -379,7 +425,7 @@ def phase2_merge(spark, sf):
 def shard_limit(spark, sf):
     """At most so many records of each shard, counted before the gate."""
     limited = Reducer(spark, SHARDED.but(limit=SHARD_LIMIT))
-    placed = limited._limited(limited._placed(records(spark, sf)))
+    placed = limited._limited(limited._placed(stored(spark, sf)))
     return placed.select("shard", "ord")
 
 
@@ -457,7 +503,7 @@ def order_verdict(spark, sf):
 
 
 def calibration(spark, sf):
-    out = suggest(_related(spark, sf, RELATED), BASE)
+    out = suggest(_related(spark, sf), BASE)
     return out.select(
         "pairs", *[F.round(c, 9).alias(c) for c in ("median_divergence", "suggested_threshold", "boundary", "slot_resolution", "floor")],
         "bytes_per_record", "resolves",
@@ -469,12 +515,11 @@ def stream_reduce(spark, sf):
 
     def make():
         root = Workspace(spark).path
-        whole = records(spark, sf)
+        whole = stored(spark, sf)
         half = whole.agg(F.expr("(min(ord) + max(ord)) div 2")).first()[0]
         runner = IncrementalReducer(spark, BASE, f"{root}/state")
         for part, rows in enumerate((F.col("ord") <= half, F.col("ord") > half)):
-            ordered = whole.where(rows).repartitionByRange(2, "ord").sortWithinPartitions("ord")
-            write_fasta(ordered, f"{root}/in/{part}")
+            write_fasta(whole.where(rows), f"{root}/in/{part}")
             stream = stream_fasta(spark, f"{root}/in/*")
             runner.start(stream, f"{root}/log", available_now=True).awaitTermination()
         return runner
@@ -486,11 +531,11 @@ def stream_reduce(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        derive_sequences, fasta_round_trip, seq_stats, completeness_gate, gate_report,
+        derive_sequences, fasta_round_trip, fasta_stripped, seq_stats, completeness_gate, gate_report,
         month_histogram, header_truncate, acgt_runs,
         kmers_canonical, kmer_counts, kmer_cap, kmer_df, kmer_letters, corpus_distinct_kmers,
         kmer_first_seen, mix64_hash, cms_counters, cms_point_query,
-        admission_round1, admission_final, admission_countmin, admission_ungated, decision_tsv,
+        admission_round1, admission_final, admission_countmin, admission_ungated, decision_tsv, decision_tsv_plain,
         binomial_cutoffs, rare_kmer_counts,
         minhash_sketch, minhash_pcg64, lsh_bands, jaccard_pairs, candidate_pairs,
         novelty_promoted, novelty_by_month, novelty_undivided, novelty_only, novelty_exact_nn,
