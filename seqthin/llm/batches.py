@@ -10,6 +10,17 @@ import numpy as np
 import pyarrow as pa
 
 BYTES_PER_CALL = 4 << 20
+ROWS_SETTING, ROWS_USUAL, ROWS_OF_TEXT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def small_batches(spark) -> None:
+    """Batches of whole texts hold a thousand rows, unless the session sets a number of its own.
+
+    Ten thousand texts in a batch would fill the buffers of both sides with tens of
+    megabytes for every task.
+    """
+    if spark.conf.get(ROWS_SETTING, ROWS_USUAL) == ROWS_USUAL:
+        spark.conf.set(ROWS_SETTING, ROWS_OF_TEXT)
 
 
 def text_slices(batch: pa.RecordBatch, budget: int = BYTES_PER_CALL, name: str = "text") -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqthin.llm.batches import text_slices
+from seqthin.llm.batches import small_batches, text_slices
 from seqthin.llm.bytescan import SPACES, U, joined, mix, owner, repeated, runs, span_hashes, table_of
 from seqthin.llm.samples import labelled_sample
 
@@ -195,6 +195,7 @@ def fit_trees(
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Trees:
     """Trees from at most ``per_class`` documents of either label; only features reach the driver."""
+    small_batches(docs.sparkSession)
     names = list(FEATURES)
     schema = "doc_id bigint, label int, " + ", ".join(f"{f} double" for f in names)
 
@@ -213,6 +214,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 
 def quality_rules(docs: DataFrame, trees: Trees, at_least: float = 0.5) -> DataFrame:
     """Per document: the counts, base_failed, kept, and the trees' score."""
+    small_batches(docs.sparkSession)
     margin = float(np.log(at_least / (1 - at_least)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

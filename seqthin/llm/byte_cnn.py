@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqthin.llm.batches import text_slices
+from seqthin.llm.batches import small_batches, text_slices
 from seqthin.llm.samples import id_remainder, labelled_sample
 
 CHUNK, STRIDE = 512, 256
@@ -182,5 +182,6 @@ def score(docs: DataFrame, net: ByteCnn, parts: int = 4, held_out: int = 2) -> D
                     names=["doc_id", "held_out", "score", "predicted"],
                 )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), (id_remainder(parts) == held_out).alias("held_out"), "text")
     return rows.mapInArrow(judge, "doc_id bigint, held_out boolean, score double, predicted int")

@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqthin.llm.batches import text_slices
+from seqthin.llm.batches import small_batches, text_slices
 from seqthin.llm.bytescan import SPACES, U, joined, owner, runs, span_hashes, table_of
 from seqthin.llm.samples import id_remainder
 from seqthin.workspace import Workspace
@@ -229,6 +229,7 @@ def count_all(rows: DataFrame) -> DataFrame:
 def language_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    small_batches(spark)
     ws = Workspace(spark)
     rows = with_parts(docs, ws)
     counts = ws.table(count_all(rows), "counts")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqthin.llm.batches import text_slices, texts_of
+from seqthin.llm.batches import small_batches, text_slices, texts_of
 from seqthin.llm.tokens import encoder, with_end
 from seqthin.workspace import Workspace
 
@@ -194,6 +194,7 @@ def write_repair(
         if held:
             yield flush()
 
+    small_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange("doc_id")
     ordered.sortWithinPartitions("doc_id", "text").mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqthin.llm.batches import text_slices
+from seqthin.llm.batches import small_batches, text_slices
 from seqthin.workspace import Workspace
 
 WORDS, RADIUS, BLOCKS, SEED = 4, 4, 6, 42
@@ -78,6 +78,7 @@ def fingerprint_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     names=["doc_id", "tid", "fp"],
                 )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("tid"), "text")
     return rows.mapInArrow(make, "doc_id bigint, tid bigint, fp bigint")
 
