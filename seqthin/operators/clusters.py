@@ -34,7 +34,7 @@ def nearest_kept(
     nodes = ws.table(first_of_equal(records.where("sketch IS NOT NULL"), partition), "sketches")
     toks, _, _ = meeting_keys(nodes, scheme, partition, ws, key_limit)
     met = pairs_between(toks, toks.join(kept, "ord", "left_semi"))
-    near = compare(met, nodes, scheme.need).select("i", F.col("j").alias("class"), "equal")
+    near = compare(met, nodes, scheme).select("i", F.col("j").alias("class"), "equal")
     itself = kept.select(
         F.col("ord").alias("i"), F.col("ord").alias("class"), F.lit(scheme.m).alias("equal")
     )
@@ -76,5 +76,5 @@ def covered(
     nodes = ws.table(sketches.select("ord", "sketch").join(union, "ord", "left_semi"), "sketches")
     toks, _, _ = meeting_keys(nodes, scheme, [], ws, key_limit)
     met = pairs_between(toks.join(a, "ord", "left_semi"), toks.join(b, "ord", "left_semi"))
-    close = compare(met, nodes, need).select(F.col("j").alias("ord"))
+    close = compare(met, nodes, scheme).select(F.col("j").alias("ord"))
     return same.unionByName(close).distinct()

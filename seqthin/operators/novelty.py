@@ -68,7 +68,7 @@ def _keep_beside_old(nodes, scheme, partition, ws, key_limit) -> DataFrame:
     toks, _, _ = meeting_keys(nodes, scheme, partition, ws, key_limit)
     met = pairs_between(toks.join(new.select("ord"), "ord", "left_semi"),
                         toks.join(old.select("ord"), "ord", "left_semi"))
-    hit = compare(met, nodes, scheme.need).select(F.col("j").alias("ord")).distinct()
+    hit = compare(met, nodes, scheme).select(F.col("j").alias("ord")).distinct()
     fresh = ws.table(new.join(hit, "ord", "left_anti").drop("old"), "unlike-old")
     return _keep_first(fresh, scheme, partition, ws, key_limit)
 
@@ -83,7 +83,7 @@ def _keep_first(nodes, scheme, partition, ws, key_limit) -> DataFrame:
         heads *= HEAD_GROWTH
         crowded = not crowded_keys(toks, key_limit).isEmpty()
     met = pairs_within(toks, 1 if filtered else scheme.shared)
-    edges = ws.table(compare(met, nodes, scheme.need).select("i", "j"), "edges")
+    edges = ws.table(compare(met, nodes, scheme).select("i", "j"), "edges")
     _, dropped = settle(edges, ws)
     # Without head rounds every node is still a candidate here.
     left = toks.select("ord").distinct() if kept else nodes.select("ord")
@@ -115,7 +115,7 @@ def _head_round(nodes, toks, scheme, shared, ws, key_limit, heads):
         head_toks.join(cut, "key").where("ord > cut").select("ord").distinct(), "blocked"
     )
     edges = ws.table(
-        compare(pairs_within(head_toks, shared), nodes, scheme.need).select("i", "j"), "edges"
+        compare(pairs_within(head_toks, shared), nodes, scheme).select("i", "j"), "edges"
     )
     unsettled, dropped = settle(edges, ws, blocked)
     chosen = ws.table(
@@ -128,7 +128,7 @@ def _head_round(nodes, toks, scheme, shared, ws, key_limit, heads):
     open_toks = toks.join(chosen, "ord", "left_anti").join(dropped, "ord", "left_anti")
     met = pairs_between(open_toks, toks.join(chosen, "ord", "left_semi"))
     like_kept = ws.table(
-        compare(met.where("i < j"), nodes, scheme.need).select(F.col("j").alias("ord")).distinct(),
+        compare(met.where("i < j"), nodes, scheme).select(F.col("j").alias("ord")).distinct(),
         "like-kept",
     )
     return chosen, ws.table(open_toks.join(like_kept, "ord", "left_anti"), "tokens")

@@ -13,7 +13,7 @@ global order, already meet.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ class Scheme:
     need: int  # agreeing slots that make a pair redundant
     groups: int
     width: int
+    bands: int = 0  # redundant pairs also agree on one of so many bands (0: no such rule)
 
     @classmethod
     def of(cls, m: int, bands: int, need: int) -> "Scheme":
@@ -67,7 +68,18 @@ class Scheme:
 
 
 def novelty_scheme(m: int, bands: int, threshold: float) -> Scheme:
-    return Scheme.of(m, bands, min_equal_slots(m, threshold))
+    """Records resemble each other if they share a band and enough slots.
+
+    Where that implies a single shared band only, a band many unlike records hold
+    could not be avoided.  There records meet under finer groups, of which they
+    surely share several, and pairs are asked for a shared band at the end.
+    """
+    need = min_equal_slots(m, threshold)
+    plain = Scheme.of(m, bands, need)
+    fine = Scheme.exhaustive(m, need, bands)
+    if m // bands and plain.shared == 1 and fine.shared > 1:
+        return replace(fine, bands=bands)
+    return plain
 
 
 def tokens(sketches: DataFrame, scheme: Scheme, partition: list[str]) -> DataFrame:
@@ -131,11 +143,20 @@ def pairs_between(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["key", "salt"]).where("i <> j").select("i", "j").distinct()
 
 
-def compare(pairs: DataFrame, sketches: DataFrame, need: int) -> DataFrame:
-    """Pairs whose sketches agree in at least ``need`` slots, with that number."""
+def shares_band(a: Column, b: Column, m: int, bands: int) -> Column:
+    """Whether two sketches agree on all slots of some band."""
+    width = m // bands
+    numbers = F.sequence(F.lit(0), F.lit(bands - 1))
+    return F.exists(numbers, lambda g: F.slice(a, g * width + 1, width) == F.slice(b, g * width + 1, width))
+
+
+def compare(pairs: DataFrame, sketches: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs whose sketches are redundant under ``scheme``, with the number of agreeing slots."""
     a = sketches.select(F.col("ord").alias("i"), F.col("sketch").alias("sketch_i"))
     b = sketches.select(F.col("ord").alias("j"), F.col("sketch").alias("sketch_j"))
     scored = pairs.join(a, "i").join(b, "j")
+    if scheme.bands:
+        scored = scored.where(shares_band(F.col("sketch_i"), F.col("sketch_j"), scheme.m, scheme.bands))
     return scored.select(
         "i", "j", equal_slots(F.col("sketch_i"), F.col("sketch_j")).alias("equal")
-    ).where(F.col("equal") >= need)
+    ).where(F.col("equal") >= scheme.need)

@@ -13,7 +13,7 @@ from seqthin.functions.calibrate import (
     sketch_bytes,
     threshold_for,
 )
-from seqthin.operators.signatures import compare, novelty_scheme, pairs_between, tokens
+from seqthin.operators.signatures import Scheme, compare, pairs_between, tokens
 
 
 def best_related(sketches: DataFrame, kept: DataFrame, cfg: ReduceConfig) -> DataFrame:
@@ -22,10 +22,10 @@ def best_related(sketches: DataFrame, kept: DataFrame, cfg: ReduceConfig) -> Dat
     The earliest of equally similar ones is taken; a record is not related to itself,
     and one that shares no band with a kept record has no row.
     """
-    scheme = novelty_scheme(cfg.sketch, cfg.bands, cfg.threshold)
+    scheme = Scheme.of(cfg.sketch, cfg.bands, 0)
     toks = tokens(sketches, scheme, [])
     pairs = pairs_between(toks, toks.join(kept, "ord", "left_semi"))
-    best = compare(pairs, sketches, 0).groupBy("j").agg(
+    best = compare(pairs, sketches, scheme).groupBy("j").agg(
         F.max_by("i", F.struct("equal", -F.col("i"))).alias("i"), F.max("equal").alias("equal")
     )
     return best.select("j", "i", "equal")

@@ -17,6 +17,7 @@ from seqthin.operators.gate import ADMIT, LOWQUAL, REJECT, SKIP, with_quality
 from seqthin.operators.kmers import profiles
 from seqthin.operators.novelty import keep_novel
 from seqthin.operators.report import report
+from seqthin.functions.similarity import min_equal_slots
 from seqthin.operators.signatures import KEY_LIMIT, Scheme, novelty_scheme
 from seqthin.sources.order import ROWS_PER_CHUNK, with_ordinal, with_shard
 from seqthin.workspace import Workspace
@@ -215,5 +216,4 @@ class Reducer:
 
 
 def exact_scheme(cfg: ReduceConfig) -> Scheme:
-    scheme = novelty_scheme(cfg.sketch, cfg.bands, cfg.threshold)
-    return Scheme.exhaustive(cfg.sketch, scheme.need, cfg.bands)
+    return Scheme.exhaustive(cfg.sketch, min_equal_slots(cfg.sketch, cfg.threshold), cfg.bands)

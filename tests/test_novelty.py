@@ -1,5 +1,6 @@
 """Greedy selection against the sequential rule, with crowded keys and copies."""
 
+import glob
 import random
 
 import pytest
@@ -27,7 +28,7 @@ def random_sketches(rng, count, m):
 
 CASES = [
     (64, 16, 0.15, 2), (32, 16, 0.15, 64), (64, 16, 0.5, 3), (8, 16, 0.3, 2),
-    (40, 16, 0.125, 4), (16, 4, 0.0, 2),
+    (40, 16, 0.125, 4), (16, 4, 0.0, 2), (128, 16, 0.15, 4), (256, 16, 0.15, 64),
 ]
 
 
@@ -48,6 +49,20 @@ def test_without_bands_every_pair_counts(spark, m, threshold):
     assert sorted(r[0] for r in kept.collect()) == sequential.keep(items, m, 16, threshold, banded=False)
 
 
+@pytest.mark.parametrize("count", [200, 400])
+def test_unlike_records_in_one_band_take_no_rounds(spark, count):
+    """A band all records hold, and nothing else in common: no crowded key remains."""
+    m = 256
+    rng = random.Random(count)
+    items = [(i, 0, [7] * 16 + [rng.randrange(10**9) for _ in range(m - 16)]) for i in range(count)]
+    items.append((count, 0, items[3][2][:-5] + [1] * 5))
+    ws = Workspace(spark)
+    df = spark.createDataFrame(items, "ord bigint, part int, sketch array<bigint>")
+    kept = keep_novel(df, novelty_scheme(m, 16, 0.15), ["part"], ws, 64)
+    assert sorted(r[0] for r in kept.collect()) == list(range(count))
+    assert not glob.glob(f"{ws.path}/*-waiting")
+
+
 def test_earlier_batches_count(spark):
     m = 32
     items = [(o, 0, s) for o, _, s in random_sketches(random.Random(9), 100, m)]
