@@ -1,6 +1,8 @@
 """The driver's contract on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -25,3 +27,20 @@ def test_entry(spark):
 def test_same_values_as_sql(spark, name):
     said, _, _ = check(spark, name, contract.queries()[name], contract.oracle_sql()[name], SF, connect(SF))
     assert said == ""
+
+
+def test_works_without_the_training_data_subpackage():
+    code = """
+import sys
+class Absent:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("seqthin.llm"):
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Absent())
+import __spark_entry__ as contract
+names = set(contract.queries())
+assert "novelty_promoted" in names and "pipeline" not in names
+assert set(contract.oracle_sql()) <= names
+"""
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
