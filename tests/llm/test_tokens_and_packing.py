@@ -30,7 +30,7 @@ def test_encoder_equals_whole_texts(encoder):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("ab1'st ,.\n\t\r  é日|<>endoftx"), max_size=30), max_size=5))
+@given(st.lists(st.text(alphabet=st.sampled_from("ab1'st ,.\n\t\r  é日\u00a0\u3000\x85\x1c|<>endoftx"), max_size=30), max_size=5))
 def test_encoder_on_any_text(texts):
     encoder = Encoder(tokenizer_path())
     ids, n = encoder.encode(texts)
