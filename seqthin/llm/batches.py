@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BYTES_PER_CALL = 4 << 20
+BYTES_PER_CALL = 2 << 20
 ROWS_SETTING, ROWS_USUAL, ROWS_OF_TEXT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
@@ -43,11 +43,15 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def worker_state(key, make: Callable):
-    """A value that a Python worker keeps between its tasks."""
+    """A value that a Python worker keeps between its tasks.
+
+    One at a time: a worker that turns to another operator drops what the last one kept.
+    """
     home = sys.modules.setdefault("_seqthin_worker_state", types.ModuleType("_seqthin_worker_state"))
-    if key not in home.__dict__:
-        home.__dict__[key] = make()
-    return home.__dict__[key]
+    if getattr(home, "key", None) != key:
+        home.value = None
+        home.key, home.value = key, make()
+    return home.value
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
