@@ -54,6 +54,11 @@ def worker_state(key, make: Callable):
     return home.value
 
 
+def let_go() -> None:
+    """Give memory of finished groups back: idle workers stay, and share their executor's."""
+    pa.default_memory_pool().release_unused()
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Concatenated ranges ``start, start + 1, …`` of the given sizes."""
     ends = np.cumsum(sizes)
