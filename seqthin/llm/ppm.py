@@ -1,18 +1,20 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
 Training documents (A-Z lower-cased) are counted once, as bytes with the ``ORDER``
-bytes before them; shorter contexts are sums of longer ones, so the counts form a
-trie.  In a context seen ``n`` times with ``q`` different bytes, a byte seen ``c``
+bytes before them, every such string, however rare; shorter contexts are sums of longer
+ones, so the counts form a trie.  In a context seen ``n`` times with ``q`` different bytes, a byte seen ``c``
 times has probability ``c / (n + q)`` and the escape to the next shorter context
 ``q / (n + q)``; bytes of the longer context are left out of the shorter one's counts.
-The trie no longer changes, so every context's row of log probabilities is worked out
-in advance and a text costs two look-ups a byte.  Texts begin with marks and end with
-one that counts as a symbol.  The trie holds at most ``MAX_NODES`` counted strings,
-the most frequent ones, which bounds what the driver gathers and executors load; the
-text counted is always all of the training documents.
+The trie no longer changes, so every string's log probability is worked out in advance,
+by joins over the distinct strings, and a text costs one look-up a byte.  Texts begin
+with marks and end with one that counts as a symbol.
 
-Beside it stands a word unigram whose counts stay distributed: every input part sends
-its different words once, counts are summed by word, and the sums return to the part.
+What a context's followers leave to the shorter one needs no lists: they also follow
+the shorter one, so their number and the sum of their counts there are enough.
+
+Beside it stands a word unigram.  Counts of strings and words stay distributed: every
+input part sends its different ones once, counts are summed, and what they are worth
+returns to the part.
 
 Defined cases: a null text is empty and scores its end alone; equal rows get equal
 scores; without training documents every symbol is equally likely; an empty table
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqthin.llm.batches import small_batches, text_slices
@@ -36,9 +38,8 @@ from seqthin.llm.bytescan import SPACES, U, joined, owner, runs, span_hashes, ta
 from seqthin.llm.samples import id_remainder
 from seqthin.workspace import Workspace
 
-ORDER = 3
+ORDER = 4
 MARK = 255  # no byte of UTF-8
-MAX_NODES = 1 << 21
 ALPHA = 0.1
 PART_BYTES = 16 << 20
 SYMBOLS = 257  # bytes and the end
@@ -46,6 +47,8 @@ SYMBOLS = 257  # bytes and the end
 
 @dataclass
 class Ppm:
+    """The whole model in one process, for small corpora; ``string_scores`` is the distributed one."""
+
     symbol: np.ndarray  # byte -> number, the last one for bytes never seen
     row: np.ndarray  # code of ORDER numbers -> row of the table
     table: np.ndarray  # (rows, numbers): log10 probabilities
@@ -70,8 +73,8 @@ class Ppm:
 
 
 def build(grams: np.ndarray, counts: np.ndarray) -> Ppm:
-    """Model of counted strings of ``ORDER`` context bytes and one symbol, packed in 32 bits."""
-    parts = [((grams >> np.uint32(8 * (ORDER - j))) & np.uint32(255)).astype(np.int64) for j in range(ORDER + 1)]
+    """Model of counted strings of ``ORDER`` context bytes and one symbol, packed in 64 bits."""
+    parts = [(grams >> np.int64(8 * (ORDER - j))) & np.int64(255) for j in range(ORDER + 1)]
     seen = np.unique(np.concatenate([*parts, [MARK]])).astype(np.int64)
     symbol = np.full(256, len(seen), np.int64)
     symbol[seen] = np.arange(len(seen))
@@ -127,7 +130,7 @@ def word_tokens(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def grams_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Every symbol of the texts with the bytes before it, packed in 32 bits."""
+    """Every symbol of the texts with the bytes before it, packed in 64 bits."""
     wide = (ends - starts) + 1 + ORDER
     at = np.cumsum(wide) - wide
     padded = np.full(int(wide.sum()), MARK, np.uint8)
@@ -138,9 +141,9 @@ def grams_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     keep = np.ones(len(raw), bool)
     keep[ends] = False
     padded[inside] = raw[keep]
-    out = np.zeros(max(0, len(padded) - ORDER), np.uint32)
+    out = np.zeros(max(0, len(padded) - ORDER), np.int64)
     for j in range(ORDER + 1):
-        out = (out << np.uint32(8)) | padded[j : j + len(out)]
+        out = (out << np.int64(8)) | padded[j : j + len(out)]
     whole = np.ones(len(out), bool)
     # Strings that would reach into the next text.
     for j in range(ORDER):
@@ -183,64 +186,114 @@ def with_parts(docs: DataFrame, ws: Workspace) -> DataFrame:
     )
 
 
+def asked_for(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values and their training counts; those of held-out documents alone have none."""
+    v, c = counted(values[train])
+    other = np.setdiff1d(values[~train], v)
+    return np.concatenate([v, other]), np.concatenate([c, np.zeros(len(other), np.int64)])
+
+
 def count_all(rows: DataFrame) -> DataFrame:
-    """(part, item, n): training counts of words by part (a null part: of byte strings)."""
+    """(part, string, item, n): training counts of words and byte strings by part."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, list] = {}
-        strings: list = []
+        held: dict[tuple[int, bool], list] = {}
         for batch in batches:
             for piece in text_slices(batch):
                 raw, starts, ends = lowered(piece.column("text"))
                 h, doc = word_tokens(raw, starts)
+                g, of = grams_of(raw, starts, ends), np.repeat(np.arange(piece.num_rows), ends - starts + 1)
                 part = piece.column("part").to_numpy()
                 train = ~piece.column("held_out").to_numpy(zero_copy_only=False)
                 for p in np.unique(part):
-                    mine = part[doc] == p
-                    v, c = counted(h[mine & train[doc]])
-                    # Words of held-out documents alone are asked for, too.
-                    other = np.setdiff1d(h[mine & ~train[doc]], v)
-                    words.setdefault(int(p), []).append((np.concatenate([v, other]), np.concatenate([c, np.zeros(len(other), np.int64)])))
-                    if len(words[int(p)]) >= 8:
-                        words[int(p)] = [summed(words[int(p)])]
-                if train.any():
-                    size = (ends - starts + 1)[train]
-                    at = np.repeat(starts[train] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    stop = np.cumsum(size) - 1
-                    strings.append(counted(grams_of(raw[at], stop - size + 1, stop)))
-                    if len(strings) >= 8:
-                        strings = [summed(strings)]
-        for p, held in words.items():
-            v, c = summed(held)
-            yield from batches_of(np.full(len(v), p), v.view(np.int64), c)
-        if strings:
-            v, c = summed(strings)
-            yield from batches_of(None, v.astype(np.int64), c)
-
-    def batches_of(part, item, n, rows_each: int = 200_000):
+                    for string, values, row in ((False, h.view(np.int64), doc), (True, g, of)):
+                        mine = part[row] == p
+                        some = held.setdefault((int(p), string), [])
+                        some.append(asked_for(values[mine], train[row[mine]]))
+                        if len(some) >= 8:
+                            some[:] = [summed(some)]
+        for (p, string), some in held.items():
+            v, c = summed(some)
+            yield from batches_of(p, string, v, c)
+
+    def batches_of(part, string, item, n, rows_each: int = 200_000):
         for lo in range(0, len(item), rows_each):
-            hi = min(lo + rows_each, len(item))
-            p = pa.nulls(hi - lo, pa.int64()) if part is None else pa.array(part[lo:hi])
-            yield pa.RecordBatch.from_arrays([p, pa.array(item[lo:hi]), pa.array(n[lo:hi])], names=["part", "item", "n"])
-
-    return rows.mapInArrow(count, "part bigint, item bigint, n bigint")
-
-
-def language_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+            some = slice(lo, lo + rows_each)
+            size = len(item[some])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, part)), pa.array(np.full(size, string)), pa.array(item[some]), pa.array(n[some])],
+                names=["part", "string", "item", "n"],
+            )
+
+    return rows.mapInArrow(count, "part bigint, string boolean, item bigint, n bigint")
+
+
+def ending(order: int) -> Column:
+    """The last symbol of a string with ``order`` bytes before it."""
+    return F.col("item").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+
+
+def string_scores(strings: DataFrame, ws: Workspace) -> DataFrame:
+    """(item, value): log10 probability of the last byte of every string (item, n)."""
+    seen = {ORDER: strings.where("n > 0")}
+    for k in range(ORDER - 1, -1, -1):
+        seen[k] = ws.table(seen[k + 1].groupBy(ending(k).alias("item")).agg(F.sum("n").alias("n")), f"strings-{k}")
+
+    def small(table: DataFrame, width: int) -> DataFrame:
+        # At most 256 ** 2 rows.
+        return F.broadcast(table) if width <= 2 else table
+
+    # Of every context: occurrences, different followers, and what those count in the shorter context.
+    contexts = {}
+    for k in range(ORDER + 1):
+        own = seen[k]
+        if k:
+            shorter = seen[k - 1].select(F.col("item").alias("end"), F.col("n").alias("below"))
+            own = own.join(small(shorter, k), ending(k - 1) == F.col("end"))
+        else:
+            own = own.withColumn("below", F.lit(0).cast("bigint"))
+        contexts[k] = own.groupBy(F.shiftright("item", 8).alias("context")).agg(
+            F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("below").alias("taken")
+        )
+    contexts[ORDER] = ws.table(contexts[ORDER], "contexts")
+    direct = seen[ORDER].join(contexts[ORDER], F.shiftright("item", 8) == F.col("context")).select(
+        "item", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("value")
+    )
+    # Strings of held-out documents alone escape until a context has their last byte.
+    none = F.lit(0).cast("bigint")
+    rest = strings.where("n = 0").select(
+        "item", F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("escape"), none.alias("gone"), none.alias("gone_kinds")
+    )
+    for k in range(ORDER, -1, -1):
+        rest = rest.join(small(contexts[k], k), F.shiftright(ending(k), 8) == F.col("context"), "left")
+        if k < ORDER:
+            here = seen[k].select(F.col("item").alias("end"), F.col("n").alias("own"))
+            rest = rest.join(small(here, k + 1), ending(k) == F.col("end"), "left")
+        else:
+            rest = rest.withColumn("own", F.lit(None).cast("bigint"))
+        left = F.coalesce("total", none) - F.col("gone")
+        kinds = F.coalesce("kinds", none) - F.col("gone_kinds")
+        rest = rest.select(
+            "item",
+            F.coalesce("value", F.col("escape") + F.log10(F.col("own") / (left + kinds))).alias("value"),
+            F.when(left > 0, F.col("escape") + F.log10(kinds / (left + kinds))).otherwise(F.col("escape")).alias("escape"),
+            F.coalesce("taken", none).alias("gone"), F.coalesce("kinds", none).alias("gone_kinds"),
+        )
+    # What no context has: the remaining symbols, each as likely as any other.
+    rest = rest.select("item", F.coalesce("value", F.col("escape") - F.log10(F.lit(SYMBOLS) - F.col("gone_kinds"))).alias("value"))
+    return direct.unionByName(rest)
+
+
+def language_scores(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     small_batches(spark)
     ws = Workspace(spark)
     rows = with_parts(docs, ws)
-    counts = ws.table(count_all(rows), "counts")
-    strings = counts.where("part IS NULL").groupBy("item").agg(F.sum("n").alias("n"))
-    # At most `max_nodes` rows of two numbers.
-    strings = strings.orderBy(F.desc("n"), "item").limit(max_nodes).toPandas()
-    model = build(strings["item"].to_numpy(np.int64).astype(np.uint32), strings["n"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast(model)
-    asked = counts.where("part IS NOT NULL")
-    totals = ws.table(asked.groupBy("item").agg(F.sum("n").alias("n")), "totals")
-    sums = totals.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    asked = ws.table(count_all(rows), "counts")
+    totals = ws.table(asked.groupBy("string", "item").agg(F.sum("n").alias("n")), "totals")
+    words = totals.where("NOT string")
+    sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     ended = rows.where("NOT held_out").count()
     n_all = (sums["n"] or 0) + ended
     kinds = (sums["v"] or 0) + (ended > 0)
@@ -248,16 +301,23 @@ def language_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     end_score = math.log10(ended + ALPHA) - bottom
 
     def judge(held: pa.Table, known: pa.Table) -> pa.Table:
-        item = known.column("item").to_numpy().view(np.uint64)
-        order = np.argsort(item)
-        item, n = item[order], known.column("n").to_numpy()[order]
+        string = known.column("string").to_numpy()
+        item, value = known.column("item").to_numpy(), known.column("value").to_numpy()
+
+        def of(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(item[kind])
+            return item[kind][order], value[kind][order]
+
+        word, n = of(~string)
+        gram, lp = of(string)
         worth = np.log10(n + ALPHA) - bottom
         out = []
         for batch in held.combine_chunks().to_batches():
             for piece in text_slices(batch):
                 raw, starts, ends = lowered(piece.column("text"))
                 h, doc = word_tokens(raw, starts)
-                at = np.searchsorted(item, h)
+                at = np.searchsorted(word, h.view(np.int64))
+                by_byte = lp[np.searchsorted(gram, grams_of(raw, starts, ends))]
                 size = piece.num_rows
                 out.append(pa.RecordBatch.from_arrays([
                     piece.column("doc_id"), piece.column("held_out"),
@@ -265,11 +325,14 @@ def language_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
                     pa.array(np.bincount(doc[n[at] > 0], minlength=size) + (ended > 0)),
                     pa.array(np.full(size, n_all, np.int64)),
                     pa.array(np.bincount(doc, worth[at], size) + end_score),
-                    pa.array(shared.value.log10(raw, starts, ends)),
+                    pa.array(np.add.reduceat(by_byte, starts)),
                 ], names=NAMES))
         return pa.Table.from_batches(out)
 
-    back = asked.select("part", "item").join(totals, "item").select("part", "item", "n")
+    values = words.select("string", "item", F.col("n").cast("double").alias("value")).unionByName(
+        string_scores(totals.where("string").select("item", "n"), ws).select(F.lit(True).alias("string"), "item", "value")
+    )
+    back = asked.select("part", "string", "item").join(values, ["string", "item"]).select("part", "string", "item", "value")
     return rows.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(judge, SCORE_SCHEMA)
 
 

@@ -214,6 +214,47 @@ def test_language_scores_of_nothing(spark):
     assert row.held_out and row.n_known == 0 and row.score == pytest.approx(3 * -math.log10(257), rel=1e-4)
 
 
+def test_rare_strings_count(spark):
+    """More different strings of four bytes than a driver would gather (2 ** 21); contexts of once count."""
+    rng = np.random.default_rng(3)
+    chars = np.frombuffer(bytes([32, *range(33, 65), *range(97, 127)]), np.uint8)
+    made = [(i, rng.choice(chars, 100_000).tobytes().decode(), None, None, None) for i in range(27)]
+    out = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(made))]
+    made += [(100 + i, made[out.index(False)][1][50 * i : 50 * i + 30], None, None, None) for i in range(20)]
+    out += [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(100, 120)]
+    pad = b"\xff" * ppm.ORDER
+    train = np.frombuffer(b"".join(pad + r[1].encode() + b"\xff" for r, o in zip(made, out) if not o), np.uint8)
+    starts = np.concatenate([np.full(ppm.ORDER, False), np.ones(len(train) - ppm.ORDER, bool)])
+    # A mark before a mark is no symbol but the beginning of the next text.
+    starts[1:] &= ~((train[1:] == 255) & (train[:-1] == 255))
+    before = np.lib.stride_tricks.sliding_window_view(train, ppm.ORDER + 1)
+
+    def score(text):
+        s, total = pad + text.encode() + b"\xff", 0.0
+        for i in range(ppm.ORDER, len(s)):
+            used, escape = set(), 1.0
+            for k in range(ppm.ORDER, -1, -1):
+                hit = starts[ppm.ORDER :].copy()
+                for j in range(1, k + 1):
+                    hit &= before[:, ppm.ORDER - j] == s[i - j]
+                n = np.bincount(before[hit, ppm.ORDER], minlength=256)
+                n[list(used)] = 0
+                if n[s[i]]:
+                    total += math.log10(escape * n[s[i]] / (n.sum() + (n > 0).sum()))
+                    break
+                if n.sum():
+                    escape *= (n > 0).sum() / (n.sum() + (n > 0).sum())
+                    used |= set(np.flatnonzero(n).tolist())
+            else:
+                total += math.log10(escape / (257 - len(used)))
+        return total
+
+    got = {g.doc_id: g for g in ppm.language_scores(spark.createDataFrame(made, tables.SCHEMA)).collect()}
+    chosen = [27 + out[27:].index(True), 27 + out[27:].index(False)]
+    for doc_id, text, *_ in (made[i] for i in chosen):
+        assert got[doc_id].score == pytest.approx(score(text), rel=1e-6)
+
+
 def test_probabilities_add_up():
     rng = np.random.default_rng(0)
     raw = rng.choice(np.frombuffer(b"abcd ", np.uint8), 500)
