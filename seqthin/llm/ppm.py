@@ -167,23 +167,33 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return unique, np.bincount(index, np.concatenate([c for _, c in parts]), len(unique)).astype(np.int64)
 
 
-def with_parts(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """(doc_id, held_out, text, part): rows of a file's stretch share a part, long stretches have several."""
+def with_parts(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
+    """(doc_id, held_out, text, part), and the number of training documents.
+
+    Rows of a stretch of a file share a part.  A row's place in its file names the
+    stretch, so every scan gives a row the same part, however it cuts the files.
+    """
     docs_ = docs
     try:
-        docs_.select("_metadata.file_path")
+        docs_.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
         docs_ = ws.table(docs_.select("doc_id", "text"), "docs")
-    spark = docs.sparkSession
-    stretch = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    several = max(1, math.ceil(stretch / PART_BYTES))
-    part = F.xxhash64(
-        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(several)),
-    )
-    return docs_.select(
-        F.col("doc_id").cast("bigint"), (id_remainder(10) == 0).alias("held_out"), "text", part.alias("part")
-    )
+    held_out = id_remainder(10) == 0
+    size = docs_.agg(
+        F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~held_out).alias("train")
+    ).first()
+    rows_each = max(1, size["rows"] * PART_BYTES // max(1, size["bytes"] or 0))
+    part = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / F.lit(rows_each)))
+    rows = docs_.select(F.col("doc_id").cast("bigint"), held_out.alias("held_out"), "text", part.alias("part"))
+    return rows, size["train"]
+
+
+def found(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of every wanted value among the sorted ones; an error if one is missing."""
+    at = np.searchsorted(sorted_, wanted)
+    if len(wanted) and not (len(sorted_) and (sorted_[np.minimum(at, len(sorted_) - 1)] == wanted).all()):
+        raise RuntimeError("a part holds a word or string that it did not ask for: its rows changed between two scans")
+    return at
 
 
 def asked_for(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,12 +299,11 @@ def language_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     ws = Workspace(spark)
-    rows = with_parts(docs, ws)
+    rows, ended = with_parts(docs, ws)
     asked = ws.table(count_all(rows), "counts")
     totals = ws.table(asked.groupBy("string", "item").agg(F.sum("n").alias("n")), "totals")
     words = totals.where("NOT string")
     sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    ended = rows.where("NOT held_out").count()
     n_all = (sums["n"] or 0) + ended
     kinds = (sums["v"] or 0) + (ended > 0)
     bottom = math.log10(n_all + ALPHA * (kinds + 1))
@@ -316,8 +325,8 @@ def language_scores(docs: DataFrame) -> DataFrame:
             for piece in text_slices(batch):
                 raw, starts, ends = lowered(piece.column("text"))
                 h, doc = word_tokens(raw, starts)
-                at = np.searchsorted(word, h.view(np.int64))
-                by_byte = lp[np.searchsorted(gram, grams_of(raw, starts, ends))]
+                at = found(word, h.view(np.int64))
+                by_byte = lp[found(gram, grams_of(raw, starts, ends))]
                 size = piece.num_rows
                 out.append(pa.RecordBatch.from_arrays([
                     piece.column("doc_id"), piece.column("held_out"),

@@ -9,6 +9,7 @@ import pytest
 
 from seqthin.llm import boosted_rules, byte_cnn, ppm, word_cnn
 from seqthin.llm.samples import labelled_sample
+from seqthin.workspace import Workspace
 from tests.llm import tables
 
 LABELS = "doc_id bigint, quality int, toxic int, text string"
@@ -255,6 +256,33 @@ def test_rare_strings_count(spark):
         assert got[doc_id].score == pytest.approx(score(text), rel=1e-6)
 
 
+def test_parts_do_not_depend_on_splits(spark, tmp_path, monkeypatch):
+    """Scans that cut the files elsewhere give every row the same part."""
+    monkeypatch.setattr(ppm, "PART_BYTES", 4000)
+    path = str(tmp_path / "docs")
+    tables.documents(spark).coalesce(1).write.option("parquet.block.size", 4096).parquet(path)
+    name, usual = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen, cuts = [], []
+    try:
+        for most in (usual, "16384"):
+            spark.conf.set(name, most)
+            docs = spark.read.parquet(path)
+            cuts.append(docs.rdd.getNumPartitions())
+            rows, _ = ppm.with_parts(docs, Workspace(spark))
+            seen.append(sorted((r.doc_id, r.part) for r in rows.collect()))
+    finally:
+        spark.conf.set(name, usual)
+    assert cuts[0] < cuts[1]
+    assert seen[0] == seen[1] and len({p for _, p in seen[0]}) > 1
+
+
+def test_missing_items_are_an_error():
+    assert ppm.found(np.array([1, 3, 5]), np.array([5, 1])).tolist() == [2, 0]
+    for known, wanted in (([1, 3], [2]), ([1, 3], [4]), ([], [1])):
+        with pytest.raises(RuntimeError):
+            ppm.found(np.array(known, np.int64), np.array(wanted, np.int64))
+
+
 def test_probabilities_add_up():
     rng = np.random.default_rng(0)
     raw = rng.choice(np.frombuffer(b"abcd ", np.uint8), 500)
