@@ -38,17 +38,25 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/seqthin-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: dict[str, str] = {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads the written table."""
         self._n += 1
-        path = f"{self.path}/{self._n:04d}-{name}"
+        path = self._paths[name] = f"{self.path}/{self._n:04d}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Delete the table last written under ``name``, once nothing reads it any more."""
+        self._delete(self._paths.pop(name))
+
     def release(self) -> None:
         """Delete this run's tables once no result reads them any more."""
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
+        target = jvm.org.apache.hadoop.fs.Path(path)
         fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(target, True)
