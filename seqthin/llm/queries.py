@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqthin.llm import boosted_rules, bwt_merge, byte_cnn, hash_tree, ppm, repair, simhash, two_fit, winnow, word_cnn
+from seqthin.llm import (
+    boosted_rules, bwt_merge, byte_cnn, codes, hash_tree, main_text, phrases, ppm, repair, simhash, two_fit, winnow, word_cnn,
+)
 
 
 def tokenizer_path() -> str:
@@ -65,6 +67,18 @@ def op10_winnowing(spark, sf):
     return found.drop("items")
 
 
+def op11_tag_ratio(spark, sf):
+    return main_text.extract(_table(spark, sf, "pages"))
+
+
+def op12_parsed_phrases(spark, sf):
+    return phrases.collocations(_table(spark, sf, "documents"))
+
+
+def op13_adaptive_codes(spark, sf):
+    return codes.compress(_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_repair": op1_repair,
     "op2_two_fit": op2_two_fit,
@@ -76,6 +90,9 @@ QUERIES = {
     "op8_word_cnn": op8_word_cnn,
     "op9_hash_tree": op9_hash_tree,
     "op10_winnowing": op10_winnowing,
+    "op11_tag_ratio": op11_tag_ratio,
+    "op12_parsed_phrases": op12_parsed_phrases,
+    "op13_adaptive_codes": op13_adaptive_codes,
 }
 
 ORACLE = {
@@ -112,5 +129,40 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
     coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.words) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op12_parsed_phrases": r"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), p AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM piece
+), word AS (SELECT lang, unnest(w) AS phrase FROM p),
+two AS (SELECT lang, unnest(list_transform(range(1, len(w)), lambda s: w[s] || ' ' || w[s + 1])) AS phrase FROM p),
+three AS (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda s: w[s] || ' ' || w[s + 1] || ' ' || w[s + 2])) AS phrase FROM p),
+f AS (
+    SELECT lang, 1 AS k, phrase, count(*) AS f FROM word GROUP BY ALL
+    UNION ALL SELECT lang, 2, phrase, count(*) FROM two GROUP BY ALL HAVING count(*) >= 10
+    UNION ALL SELECT lang, 3, phrase, count(*) FROM three GROUP BY ALL HAVING count(*) >= 10
+), n AS (SELECT lang, count(*) AS n FROM word GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT *, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (
+    SELECT cut.lang, cut.phrase, cut.k, a, j, fx.f AS l, fy.f AS r,
+        (1000000::HUGEINT * a * a) // (fx.f::HUGEINT * fy.f) AS score
+    FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.phrase = cut.x JOIN f fy ON fy.lang = cut.lang AND fy.phrase = cut.y
+), low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_two AS (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3
+), longer AS (SELECT lang, phrase, max(a) AS m FROM inner_two GROUP BY ALL),
+kept AS (
+    SELECT low.* FROM low LEFT JOIN longer USING (lang, phrase) WHERE m IS NULL OR 100 * m < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+    a, l, r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang)
+QUALIFY rank <= 2000
 """,
 }
