@@ -7,7 +7,7 @@ need no copy of this package.
 from pyspark import cloudpickle
 
 from seqthin.functions import calibrate, kernels
-from seqthin.operators import kmers
+from seqthin.operators import kmers, sketch, superkmers
 
-for _module in (kernels, kmers, calibrate):
+for _module in (kernels, kmers, sketch, superkmers, calibrate):
     cloudpickle.register_pickle_by_value(_module)

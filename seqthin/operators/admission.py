@@ -25,18 +25,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqthin.config import ReduceConfig
 from seqthin.functions.kernels import CMS_SEEDS
+from seqthin.operators import sketch, superkmers
 from seqthin.operators.kmers import count_won_kmers, explode_cells
 from seqthin.sources.order import ROWS_PER_CHUNK, chunked, running_totals
 from seqthin.workspace import Workspace
 
 KEY = ["shard", "ord"]
 BROADCAST_CELLS = 2_000_000
-BEFORE_ALL = -(2**63)
 
 
 @dataclass
@@ -90,14 +91,23 @@ def outlier_test(
 
 
 def first_holders(
-    passing: DataFrame, cfg: ReduceConfig, history: History | None = None
+    passing: DataFrame, cfg: ReduceConfig, targets: int = superkmers.FEWEST_TARGETS
 ) -> DataFrame:
-    """First record of each shard to touch each cell (combined on the map side)."""
-    touches = explode_cells(passing, cfg, KEY)
-    if history is not None:
-        seen = history.cells.select("shard", F.lit(BEFORE_ALL).alias("ord"), "cell")
-        touches = touches.unionByName(seen)
-    return _first_by(touches, ["cell"], cfg)
+    """(shard, cell, ord): first record of each shard to touch each cell."""
+    if cfg.frequency == "exact":
+        return superkmers.first_holders_of_kmers(passing, cfg, targets)
+    return sketch.first_touches(passing, cfg)
+
+
+def singleton_counts(
+    passing: DataFrame, cfg: ReduceConfig, targets: int = superkmers.FEWEST_TARGETS
+) -> DataFrame:
+    """(shard, ord, n_singleton) where every record counts as a holder; records without any may be missing."""
+    if cfg.frequency == "exact":
+        return superkmers.first_holder_counts(passing, cfg, targets).withColumnRenamed("n", "n_singleton")
+    if sketch.travels(cfg):
+        return sketch.unseen_kmers(passing, sketch.touch_slices(passing, cfg), cfg)
+    return _count_singletons(sketch.first_touches(passing, cfg), passing, cfg)
 
 
 def _first_by(touches: DataFrame, keys: list[str], cfg: ReduceConfig) -> DataFrame:
@@ -136,15 +146,24 @@ def admit(
 ) -> Admission:
     """Run the admission fixpoint over the records that pass the gate."""
     passing = quality.select(*KEY, "seq", "complete")
-    first = first_holders(passing, cfg, history)
-    if cfg.frequency != "exact":
-        first = ws.table(first, "first-holders")  # no larger than the sketch
-    won = first.where(F.col("ord") != BEFORE_ALL) if history is not None else first
     usable = profile.where("complete AND n_kmers > 0").select(*KEY, "n_kmers")
-    base = usable.join(_count_singletons(won, passing, cfg), KEY, "left").select(
+    size = usable.agg(F.count("*").alias("records"), F.coalesce(F.sum("n_kmers"), F.lit(0)).alias("kmers")).first()
+    targets = superkmers.target_count(size["kmers"])
+    first = None
+    if history is not None:
+        # The batch's cells meet those of earlier batches, not the other way round.
+        first = ws.table(first_holders(passing, cfg, targets).join(history.cells, ["shard", "cell"], "left_anti"), "first-holders")
+        counts = _count_singletons(first, passing, cfg)
+    elif cfg.frequency != "exact":
+        slices = ws.table(sketch.touch_slices(passing, cfg), "first-touches")  # no larger than the sketch
+        first = sketch._cells(slices, "ord")
+        counts = sketch.unseen_kmers(passing, slices, cfg) if sketch.travels(cfg) else _count_singletons(first, passing, cfg)
+    else:
+        counts = singleton_counts(passing, cfg, targets)
+    base = usable.join(counts, KEY, "left").select(
         *KEY, F.coalesce("n_singleton", F.lit(0)).cast("bigint").alias("n_singleton")
     )
-    base = chunked(base, ws, KEY, rows_per_chunk, usable.count())
+    base = chunked(base, ws, KEY, rows_per_chunk, size["records"])
     scored = outlier_test(base, cfg, history)
     rejects = ws.table(scored.where("reject").select(*KEY), "rejects")
     if rejects.isEmpty():
@@ -186,22 +205,26 @@ class _Disputed:
 
     def __init__(self, first, passing, base, usable, cover, cfg, ws, history):
         self.cfg, self.cover = cfg, cover
-        cell = ["shard", "cell"] if cfg.shards > 1 else ["cell"]
         member = cover.select(*KEY, F.lit(True).alias("member"))
         flagged = passing.join(member, KEY, "left").withColumn(
             "cover_ord", F.when(F.col("member"), F.col("ord"))
         )
-        touches = explode_cells(flagged, cfg, [*KEY, "cover_ord"])
-        if history is not None:
-            seen = history.cells.select("shard", F.lit(BEFORE_ALL).alias("ord"), "cell")
-            touches = touches.unionByName(seen, allowMissingColumns=True)
         mine = explode_cells(passing.join(cover, KEY, "left_semi"), cfg, KEY).select("shard", "cell")
+        if history is not None:
+            # What earlier batches hold is nobody's in this one.
+            mine = mine.join(history.cells, ["shard", "cell"], "left_anti")
         per_kmer = 1 if cfg.frequency == "exact" else len(CMS_SEEDS)
         at_most = usable.join(cover, KEY, "left_semi").agg(F.sum("n_kmers")).first()[0] or 0
         small = at_most * per_kmer <= BROADCAST_CELLS
         if small:
-            wanted = F.broadcast(mine.select(*cell).distinct())
-            touches = touches.join(wanted, cell, "left_semi")
+            # Cells outside the cover's are dropped where they are made.
+            mine = ws.table(mine.distinct(), "cover-cells")
+            wanted = np.unique(mine.select("cell").toArrow().column("cell").to_numpy().view(np.uint64))
+            touches = explode_cells(flagged, cfg, [*KEY, "cover_ord"], wanted)
+            if cfg.shards > 1 or history is not None:
+                touches = touches.join(F.broadcast(mine), ["shard", "cell"], "left_semi")
+        else:
+            touches = explode_cells(flagged, cfg, [*KEY, "cover_ord"])
         # Records outside the cover are never rejected, so of them only the first matters.
         who = _first_by(touches, ["cell", "cover_ord"], cfg)
         if not small:

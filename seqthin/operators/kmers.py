@@ -37,16 +37,29 @@ def _sequences(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, seq.alias("seq"))
 
 
-def explode_kmers(df: DataFrame, cfg: ReduceConfig, keep: list[str]) -> DataFrame:
-    """One row per record and distinct canonical k-mer: ``keep`` columns and ``kmer``."""
+def _among(values: np.ndarray, wanted: np.ndarray | None) -> np.ndarray | slice:
+    """Which values are in a sorted array; all without one."""
+    if wanted is None:
+        return slice(None)
+    at = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+    return wanted[at] == values if len(wanted) else np.zeros(len(values), bool)
+
+
+def explode_kmers(df: DataFrame, cfg: ReduceConfig, keep: list[str], wanted: np.ndarray | None = None) -> DataFrame:
+    """One row per record and distinct canonical k-mer: ``keep`` columns and ``kmer``.
+
+    ``wanted``, sorted and of checked size, travels to the tasks; others never leave them.
+    """
     k, cap = cfg.k, cfg.kmer_cap
+    sent = df.sparkSession.sparkContext.broadcast(wanted)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, rec, kmer in _kmer_blocks(batch, k, cap):
-                take = pa.array(rec + lo)
+                some = _among(kmer, sent.value)
+                take = pa.array(rec[some] + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).take(take) for c in keep] + [pa.array(kmer.view(np.int64))],
+                    [batch.column(c).take(take) for c in keep] + [pa.array(kmer[some].view(np.int64))],
                     names=[*keep, "kmer"],
                 )
 
@@ -55,24 +68,25 @@ def explode_kmers(df: DataFrame, cfg: ReduceConfig, keep: list[str]) -> DataFram
     return kept.mapInArrow(rows, schema)
 
 
-def explode_cells(df: DataFrame, cfg: ReduceConfig, keep: list[str]) -> DataFrame:
+def explode_cells(df: DataFrame, cfg: ReduceConfig, keep: list[str], wanted: np.ndarray | None = None) -> DataFrame:
     """Counter cells each record touches.
 
     With exact frequencies the cell is the k-mer itself; with Count-Min it is
     one of four flat cell numbers per k-mer.
     """
     if cfg.frequency == "exact":
-        return explode_kmers(df, cfg, keep).withColumnRenamed("kmer", "cell")
+        return explode_kmers(df, cfg, keep, wanted).withColumnRenamed("kmer", "cell")
     k, cap, width = cfg.k, cfg.kmer_cap, cfg.cms_log2_width
+    sent = df.sparkSession.sparkContext.broadcast(wanted)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, rec, kmer in _kmer_blocks(batch, k, cap):
-                take = pa.array(rec + lo)
-                columns = [batch.column(c).take(take) for c in keep]
                 for cells in kernels.count_min_cells(kmer, width):
+                    some = _among(cells, sent.value)
+                    take = pa.array(rec[some] + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [*columns, pa.array(cells.view(np.int64))], names=[*keep, "cell"]
+                        [batch.column(c).take(take) for c in keep] + [pa.array(cells[some].view(np.int64))], names=[*keep, "cell"]
                     )
 
     kept = _sequences(df, keep)
@@ -170,20 +184,6 @@ def rare_kmers(
     return judged.select("shard", "ord").join(found, ["shard", "ord"], "left").fillna(0, ["n_rare"])
 
 
-def document_frequency(kmers: DataFrame) -> DataFrame:
-    """In how many records each k-mer occurs (``kmers`` is distinct per record)."""
-    return kmers.groupBy("shard", "kmer").agg(F.count("*").alias("df"))
-
-
-def count_min_counters(kmers: DataFrame, cfg: ReduceConfig) -> DataFrame:
-    """Non-zero Count-Min counters after adding every row's k-mer."""
-    return (
-        kmers.select("shard", F.explode(cell_numbers(F.col("kmer"), cfg)).alias("cell"))
-        .groupBy("shard", "cell")
-        .agg(F.count("*").alias("n"))
-    )
-
-
 def mixed(value, seed: int):
     """Seeded 64-bit finaliser of a BIGINT bit pattern."""
 
@@ -223,11 +223,3 @@ def cell_numbers(kmer, cfg: ReduceConfig):
         )
 
     return cells(kmer)
-
-
-def count_min_estimate(kmers: DataFrame, counters: DataFrame, cfg: ReduceConfig) -> DataFrame:
-    """Point query: the smallest of a k-mer's counters, 0 when one was never touched."""
-    probes = kmers.select("shard", "kmer").distinct()
-    cells = probes.select("shard", "kmer", F.explode(cell_numbers(F.col("kmer"), cfg)).alias("cell"))
-    found = cells.join(counters, ["shard", "cell"], "left")
-    return found.groupBy("shard", "kmer").agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))

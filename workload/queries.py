@@ -17,7 +17,8 @@ from seqthin.functions import text
 from seqthin.functions.calibrate import binomial_cutoff
 from seqthin.functions.similarity import sketch_hex
 from seqthin.operators import kmers as K
-from seqthin.operators.admission import first_holders, outlier_test, _count_singletons
+from seqthin.operators import sketch, superkmers
+from seqthin.operators.admission import outlier_test, singleton_counts
 from seqthin.operators.clusters import cluster_sizes, nearest_kept
 from seqthin.operators.emit import emitted, fasta_text, write_fasta
 from seqthin.operators.gate import with_quality
@@ -106,11 +107,19 @@ def kmers(spark, sf, cfg=BASE):
     return K.explode_kmers(with_quality(stored(spark, sf), cfg), cfg, ["shard", "ord"])
 
 
-def admitted_kmers(spark, sf, cfg=BASE):
-    """k-mers of the records that admission lets pass."""
+def admitted(spark, sf, cfg=BASE):
+    """Sequences of the records that admission lets pass."""
     rejects = gated(spark, sf, cfg).admission.rejects
-    rows = with_quality(stored(spark, sf), cfg).join(rejects, ["shard", "ord"], "left_anti")
-    return K.explode_kmers(rows, cfg, ["shard", "ord"])
+    return with_quality(stored(spark, sf), cfg).join(rejects, ["shard", "ord"], "left_anti")
+
+
+def targets(spark, sf, cfg=BASE):
+    """Targets of runs, from the number of k-mers."""
+    return superkmers.target_count(profile(spark, sf, cfg).agg(F.sum("n_kmers")).first()[0] or 0)
+
+
+def admitted_frequencies(spark, sf, cfg=BASE):
+    return superkmers.frequencies(admitted(spark, sf, cfg), cfg, targets(spark, sf, cfg))
 
 
 def sketches(spark, sf, cfg=BASE):
@@ -209,24 +218,25 @@ def kmer_cap(spark, sf):
 
 def kmer_df(spark, sf):
     """How many k-mers occur in how many admitted records."""
-    df = K.document_frequency(admitted_kmers(spark, sf))
+    df = admitted_frequencies(spark, sf)
     return df.groupBy("df").agg(F.count("*").alias("kmers"))
 
 
 def kmer_letters(spark, sf):
     """All k-mers of admitted records as letters, with their document frequency."""
-    df = K.document_frequency(admitted_kmers(spark, sf))
+    df = admitted_frequencies(spark, sf)
     return df.select(text.kmer_text(F.col("kmer"), BASE.k).alias("kmer"), "df")
 
 
 def corpus_distinct_kmers(spark, sf):
-    return admitted_kmers(spark, sf).agg(F.countDistinct("kmer").alias("distinct_kmers"))
+    counts = superkmers.distinct_counts(admitted(spark, sf), BASE, targets(spark, sf))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("distinct_kmers"))
 
 
 def kmer_first_seen(spark, sf):
     """k-mers each record is the first to hold."""
-    first = first_holders(with_quality(stored(spark, sf), BASE), BASE)
-    return first.groupBy("ord").agg(F.count("*").alias("first_seen"))
+    first = superkmers.first_holder_counts(with_quality(stored(spark, sf), BASE), BASE, targets(spark, sf))
+    return first.select("ord", F.col("n").alias("first_seen"))
 
 
 def mix64_hash(spark, sf):
@@ -236,7 +246,7 @@ def mix64_hash(spark, sf):
 
 
 def cms_counters(spark, sf):
-    counters = K.count_min_counters(admitted_kmers(spark, sf), COUNTMIN)
+    counters = sketch.counters(admitted(spark, sf), COUNTMIN)
     width = 1 << COUNTMIN.cms_log2_width
     return counters.select(
         F.floor(F.col("cell") / width).alias("cms_row"), (F.col("cell") % width).alias("col"), "n"
@@ -245,9 +255,8 @@ def cms_counters(spark, sf):
 
 def cms_point_query(spark, sf):
     """Count-Min estimates against true document frequencies."""
-    words = admitted_kmers(spark, sf)
-    estimate = K.count_min_estimate(words, K.count_min_counters(words, COUNTMIN), COUNTMIN)
-    both = estimate.join(K.document_frequency(words), ["shard", "kmer"])
+    slices = sketch.count_slices(admitted(spark, sf), COUNTMIN)
+    both = sketch.estimates(admitted_frequencies(spark, sf), slices, COUNTMIN)
     return both.groupBy((F.col("estimate") - F.col("df")).alias("excess")).agg(F.count("*").alias("kmers"))
 
 
@@ -258,7 +267,7 @@ def admission_round1(spark, sf):
     """Singletons and running statistics with every record counted as a holder."""
     q = with_quality(stored(spark, sf), BASE)
     base = profile(spark, sf).where("complete AND n_kmers > 0").select("shard", "ord")
-    counts = _count_singletons(first_holders(q, BASE), q, BASE)
+    counts = singleton_counts(q, BASE, targets(spark, sf))
     base = base.join(counts, ["shard", "ord"], "left").fillna(0, ["n_singleton"])
     scored = outlier_test(chunked(base, Workspace(spark), ["shard", "ord"]), BASE)
     return scored.select(
