@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqthin.llm.batches import small_batches, text_slices
+from seqthin.llm.batches import letting_go, small_batches, text_slices
 from seqthin.workspace import Workspace
 
 WORDS, RADIUS, BLOCKS, SEED = 4, 4, 6, 42
@@ -80,7 +80,7 @@ def fingerprint_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("tid"), "text")
-    return rows.mapInArrow(make, "doc_id bigint, tid bigint, fp bigint")
+    return rows.mapInArrow(letting_go(make), "doc_id bigint, tid bigint, fp bigint")
 
 
 def stretches(blocks: int) -> list[int]:
@@ -215,7 +215,7 @@ def links(distinct: DataFrame, ws: Workspace, radius: int = RADIUS, blocks: int
                 yield done(whole)
 
     sorted_ = met.repartition(*task).sortWithinPartitions(*task)
-    return ws.table(sorted_.mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
+    return ws.table(sorted_.mapInArrow(letting_go(compare), "a bigint, b bigint").distinct(), "links")
 
 
 def spread(links_: DataFrame, ws: Workspace) -> DataFrame:

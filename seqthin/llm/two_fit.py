@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqthin.llm.batches import small_batches, text_slices, texts_of
+from seqthin.llm.batches import letting_go, small_batches, text_slices, texts_of
 from seqthin.llm.tokens import encoder, with_end
 from seqthin.workspace import Workspace
 
@@ -145,7 +145,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> DataF
                 ], schema=fields)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut_all, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(letting_go(cut_all), PIECE_SCHEMA)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
