@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 
 from seqthin.functions import calibrate, kernels
 from seqthin.operators import kmers, sketch, superkmers
+from seqthin.sources import fasta_source
 
-for _module in (kernels, kmers, sketch, superkmers, calibrate):
+for _module in (kernels, kmers, sketch, superkmers, calibrate, fasta_source):
     cloudpickle.register_pickle_by_value(_module)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seqthin.config import ReduceConfig
@@ -23,6 +23,17 @@ from seqthin.sources.order import ROWS_PER_CHUNK, with_ordinal, with_shard
 from seqthin.workspace import Workspace
 
 
+def profile_counters() -> list[Column]:
+    """What the profile's write observes."""
+    return [
+        F.count(F.lit(1)).alias("seen"),
+        F.count_if(~F.col("complete")).alias("lowqual"),
+        F.count_if(F.col("complete") & (F.col("n_kmers") == 0)).alias("skip"),
+        F.sum("len").alias("bases"),
+        F.sum("n_kmers").alias("kmers"),
+    ]
+
+
 def partition_columns(cfg: ReduceConfig, within_shard: bool = True) -> list[str]:
     return (["shard"] if within_shard else []) + (["mbucket"] if cfg.by_month else [])
 
@@ -38,6 +49,7 @@ class Reduction:
     admission: Admission
     shard_kept: DataFrame | None  # ord
     kept: DataFrame | None  # ord
+    seen: Observation | None = None
 
     @property
     def admitted(self) -> DataFrame:
@@ -53,6 +65,21 @@ class Reduction:
     def report(self) -> DataFrame:
         return report(self.profile, self.admission.rejects, self.kept)
 
+    def counters(self) -> dict[str, int]:
+        """Records per verdict and bases, as the run observed them while it wrote its tables."""
+        rows: dict[str, int] = {}
+        for phase in self.ws.phases:
+            rows[phase.name] = phase.rows  # of the last table of that name
+        out = {c: int(self.seen.get[c] or 0) for c in ("seen", "lowqual", "skip", "bases", "kmers")}
+        out["reject"] = rows.get("rejects", 0)
+        out["admit"] = out["seen"] - out["lowqual"] - out["skip"] - out["reject"]
+        return out
+
+    def timing(self) -> DataFrame:
+        """(step, phase, rows, seconds, rows_per_second) of every table the run has written so far."""
+        rows = [(i, p.name, p.rows, p.seconds, p.rows / max(p.seconds, 1e-9)) for i, p in enumerate(self.ws.phases, 1)]
+        return self.ws.spark.createDataFrame(rows, "step int, phase string, rows bigint, seconds double, rows_per_second double")
+
     def emitted(self, by: str = "ord") -> DataFrame:
         return emitted(self.records, self.promoted, by)
 
@@ -139,7 +166,7 @@ class Reducer:
     ):
         self.spark, self.cfg = spark, cfg
         self.key_limit, self.rows_per_chunk = key_limit, rows_per_chunk
-        self.ws = Workspace(spark)
+        self.ws = Workspace(spark, measured=True)
 
     def _placed(self, records: DataFrame) -> DataFrame:
         if "shard" in records.columns:
@@ -170,9 +197,10 @@ class Reducer:
         """Gate and admission; the result has no kept records."""
         records = self._limited(self._placed(records))
         quality = with_quality(records, self.cfg)
-        profile = self.ws.table(profiles(quality, self.cfg), "profile")
+        seen = Observation()
+        profile = self.ws.table(profiles(quality, self.cfg).observe(seen, *profile_counters()), "profile")
         admission = admit(quality, profile, self.cfg, self.ws, None, self.rows_per_chunk)
-        return Reduction(self.cfg, self.ws, records, profile, admission, None, None)
+        return Reduction(self.cfg, self.ws, records, profile, admission, None, None, seen)
 
     def admission_only(self, records: DataFrame) -> DataFrame:
         """Admission decisions for every record, without a completeness gate."""

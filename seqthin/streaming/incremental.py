@@ -9,13 +9,15 @@ is run again after a failure replaces what it wrote before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seqthin.config import ReduceConfig
 from seqthin.operators.admission import KEY, History, admit, new_cells, next_sums
-from seqthin.operators.gate import with_quality
+from seqthin.operators.gate import ADMIT, LOWQUAL, REJECT, SKIP, with_quality
 from seqthin.operators.kmers import profiles
 from seqthin.operators.novelty import keep_novel
 from seqthin.operators.signatures import KEY_LIMIT, novelty_scheme
@@ -48,6 +50,8 @@ class IncrementalReducer:
             raise ValueError("a stream is one shard")
         self.spark, self.cfg, self.state, self.order = spark, cfg, state.rstrip("/"), order
         self.key_limit, self.rows_per_chunk = key_limit, rows_per_chunk
+        #: What each batch came to, observed while it was written: batch, seconds and records per verdict.
+        self.progress: list[dict] = []
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
         """State of a kind, of all batches or of those before one."""
@@ -65,7 +69,7 @@ class IncrementalReducer:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Decide one batch and write its state."""
-        ws, cfg = Workspace(self.spark), self.cfg
+        ws, cfg, start = Workspace(self.spark), self.cfg, time.time()
         if "value" in batch.columns:
             texts = ws.table(batch.withColumn("row", F.monotonically_increasing_id()), "texts")
             batch = parse_fasta(texts)
@@ -98,9 +102,13 @@ class IncrementalReducer:
         passing = quality.select(*KEY, "seq", "complete")
         self._save("cells", new_cells(passing, admission, cfg, history), batch_id)
         self._save("sums", next_sums(admission, history), batch_id)
-        self._save("kept", kept.select("shard", "ord", "header", "mbucket", "sketch"), batch_id)
-        verdicts = decisions(profile, admission, cfg, ws)
-        self._save("decisions", verdicts.select("ord", "decision", "n_singleton", "header"), batch_id)
+        promoted, judged = Observation(), Observation()
+        kept = kept.select("shard", "ord", "header", "mbucket", "sketch").observe(promoted, F.count(F.lit(1)).alias("promoted"))
+        self._save("kept", kept, batch_id)
+        verdicts = decisions(profile, admission, cfg, ws).select("ord", "decision", "n_singleton", "header")
+        counts = [F.count_if(F.col("decision") == v).alias(v.lower()) for v in (LOWQUAL, SKIP, REJECT, ADMIT)]
+        self._save("decisions", verdicts.observe(judged, *counts), batch_id)
+        self.progress.append({"batch": batch_id, "seconds": time.time() - start, **judged.get, **promoted.get})
         ws.release()
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:

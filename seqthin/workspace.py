@@ -7,9 +7,12 @@ uses to choose join strategies, and keeps plans short.
 
 from __future__ import annotations
 
+import time
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 #: Names the folder in a session that is running already and has no such setting.
@@ -31,11 +34,29 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+@dataclass
+class Phase:
+    """One written table of a run."""
+
+    name: str
+    seconds: float
+    seen: Observation
+
+    @property
+    def rows(self) -> int:
+        return self.seen.get["rows"]
+
+
 class Workspace:
-    """A private subfolder of the shared folder, holding one run's tables."""
+    """A private subfolder of the shared folder, holding one run's tables.
+
+    A ``measured`` one notes the rows and the time of every table, as the write itself
+    observes them.
+    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, measured: bool = False):
+        self.spark, self.measured = spark, measured
+        self.phases: list[Phase] = []
         self.path = f"{shared_root(spark)}/seqthin-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: dict[str, str] = {}
@@ -44,7 +65,12 @@ class Workspace:
         """Write ``df`` and return a DataFrame that reads the written table."""
         self._n += 1
         path = self._paths[name] = f"{self.path}/{self._n:04d}-{name}"
-        df.write.parquet(path)
+        if self.measured:
+            seen, start = Observation(), time.time()
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+            self.phases.append(Phase(name, time.time() - start, seen))
+        else:
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -360,6 +360,7 @@ FROM (SELECT i, j, {EQUAL} AS equal FROM (SELECT DISTINCT a.ord AS i, b.ord AS j
     return {
         "derive_sequences": seq + "SELECT ord, header, seq FROM seqs",
         "fasta_round_trip": seq + "SELECT ord, header, seq FROM seqs",
+        "fasta_source_round_trip": seq + "SELECT ord, header, seq FROM seqs",
         "fasta_stripped": seq + "SELECT ord, header, seq FROM seqs",
         "seq_stats": all_ + "SELECT ord, length(seq) AS len, acgt, n_frac FROM stats",
         "completeness_gate": gate + "SELECT s.ord, CASE WHEN g.ord IS NULL THEN 'LOWQUAL' ELSE 'OK' END AS status FROM stats s LEFT JOIN gated g USING (ord)",
@@ -377,6 +378,7 @@ FROM (SELECT ord, unnest(regexp_split_to_array(seq, '[^ACGT]+')) AS run FROM seq
         "kmer_letters": with_(*base(), *admission(B)) + """
 SELECT kmer, count(*) AS df FROM (SELECT DISTINCT ord, least(w, translate(reverse(w), 'ACGT', 'TGCA')) AS kmer
   FROM windows JOIN scored USING (ord) WHERE position('N' IN w) = 0 AND NOT reject) GROUP BY kmer""",
+        "distinct_kmers_sketched": km("SELECT mbucket, count(DISTINCT kmer) AS n, TRUE AS within FROM kmers JOIN stats USING (ord) GROUP BY mbucket"),
         "corpus_distinct_kmers": with_(*held) + "SELECT count(DISTINCT kmer) AS distinct_kmers FROM passed",
         "kmer_first_seen": km("SELECT ord, count(*) AS first_seen FROM (SELECT kmer, min(ord) AS ord FROM kmers GROUP BY kmer) GROUP BY ord"),
         "mix64_hash": f"SELECT doc_id, lpad(hex(mixed), 16, '0') AS mixed FROM ({mix64('documents', 'doc_id', 'doc_id', kernels.CMS_SEEDS[0])})",
@@ -431,6 +433,10 @@ WHERE decision = 'PROMOTE' OR (decision IS NOT NULL AND ord % {Q.SAMPLE_EVERY} =
         "emit_by_header": flow("""SELECT ord, key AS header FROM (SELECT ord, split_part(header, '|', 3) || '|' || length(seq) AS key FROM stats)
 WHERE key IN (SELECT split_part(header, '|', 3) || '|' || length(seq) FROM admitted WHERE ord IN (SELECT ord FROM kept))"""),
         "reduction_report": report(reduced(B)),
+        "run_counters": with_(*held) + """SELECT s.*, l.lowqual, g.n - k.n AS skip, r.reject, k.n - r.reject AS admit, k.kmers
+FROM (SELECT count(*) AS seen, sum(length(seq))::BIGINT AS bases FROM stats) s, (SELECT count(*) AS n FROM gated) g,
+  (SELECT (SELECT count(*) FROM stats) - count(*) AS lowqual FROM gated) l,
+  (SELECT count(*) AS n, sum(n_kmers)::BIGINT AS kmers FROM nk) k, (SELECT count_if(reject)::BIGINT AS reject FROM scored) r""",
         "novelty_report": with_(*alone, recursive=True) + """SELECT (SELECT count(*) FROM stats) AS admitted, (SELECT count(*) FROM local_kept) AS candidates,
   count(*) AS promoted, (SELECT count(*) FROM stats)::DOUBLE / greatest(1, count(*))::DOUBLE AS factor FROM kept""",
         "admission_report": with_(*ungated, DECISIONS) + """SELECT count(*) AS seen, count_if(decision = 'SKIP')::BIGINT AS skip,

@@ -17,7 +17,7 @@ from seqthin.functions import text
 from seqthin.functions.calibrate import binomial_cutoff
 from seqthin.functions.similarity import sketch_hex
 from seqthin.operators import kmers as K
-from seqthin.operators import sketch, superkmers
+from seqthin.operators import distinct, sketch, superkmers
 from seqthin.operators.admission import outlier_test, singleton_counts
 from seqthin.operators.clusters import cluster_sizes, nearest_kept
 from seqthin.operators.emit import emitted, fasta_text, write_fasta
@@ -25,6 +25,7 @@ from seqthin.operators.gate import with_quality
 from seqthin.plans.calibration import best_related, suggest
 from seqthin.plans.reduce import Reducer, decision_lines, exact_scheme, novelty_lines
 from seqthin.plans.validate import study_orders
+from seqthin.sources import fasta_source
 from seqthin.sources.fasta import read_fasta, stream_fasta
 from seqthin.sources.order import chunked, shard_map, with_ordinal
 from seqthin.sources.tables import document_sequences, spread
@@ -145,6 +146,19 @@ def fasta_round_trip(spark, sf):
     return back.select("ord", "header", "seq")
 
 
+def fasta_source_round_trip(spark, sf):
+    """The same through the data source, in small byte ranges."""
+
+    def make():
+        fasta_source.register(spark)
+        ws = Workspace(spark)
+        rows = records(spark, sf).repartitionByRange("ord").sortWithinPartitions("ord").select("header", "seq")
+        rows.write.format("fasta").mode("append").save(f"{ws.path}/source")
+        return fasta_source.load_fasta(spark, f"{ws.path}/source", ws, splitBytes=1 << 20)
+
+    return _once(spark, sf, "fasta source", make)
+
+
 def fasta_stripped(spark, sf):
     """Files with blanks and tabs at line ends, read without them."""
 
@@ -233,6 +247,15 @@ def corpus_distinct_kmers(spark, sf):
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("distinct_kmers"))
 
 
+def distinct_kmers_sketched(spark, sf):
+    """Distinct k-mers by month: exact, and whether the merged sketches of all shards are within 2 % of that."""
+    rows = with_quality(stored(spark, sf), BASE).withColumn("shard", F.pmod(F.xxhash64("ord"), F.lit(4)).cast("int"))
+    months = distinct.united(distinct.kmer_sketches(rows, BASE, ["shard", "mbucket"]), ["mbucket"])
+    exact = superkmers.distinct_counts(rows.withColumn("shard", F.col("mbucket")), BASE, targets(spark, sf))
+    both = distinct.estimated(months).join(exact.select(F.col("shard").alias("mbucket"), "n"), "mbucket")
+    return both.select("mbucket", "n", (F.abs(F.col("estimate") - F.col("n")) <= 0.02 * F.col("n")).alias("within"))
+
+
 def kmer_first_seen(spark, sf):
     """k-mers each record is the first to hold."""
     first = superkmers.first_holder_counts(with_quality(stored(spark, sf), BASE), BASE, targets(spark, sf))
@@ -463,6 +486,13 @@ def reduction_report(spark, sf):
     return reduction(spark, sf).report()
 
 
+def run_counters(spark, sf):
+    """Counters of a run from what its writes observed, without another pass."""
+    done = gated(spark, sf).counters()
+    names = ["seen", "lowqual", "skip", "reject", "admit", "bases", "kmers"]
+    return spark.createDataFrame([tuple(done[c] for c in names)], ", ".join(f"{c} bigint" for c in names))
+
+
 def novelty_report(spark, sf):
     rows = novelty_only(spark, sf)
     total = records(spark, sf).agg(F.count("*").alias("admitted"), F.lit(1).alias("one"))
@@ -540,9 +570,9 @@ def stream_reduce(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        derive_sequences, fasta_round_trip, fasta_stripped, seq_stats, completeness_gate, gate_report,
+        derive_sequences, fasta_round_trip, fasta_source_round_trip, fasta_stripped, seq_stats, completeness_gate, gate_report,
         month_histogram, header_truncate, acgt_runs,
-        kmers_canonical, kmer_counts, kmer_cap, kmer_df, kmer_letters, corpus_distinct_kmers,
+        kmers_canonical, kmer_counts, kmer_cap, kmer_df, kmer_letters, corpus_distinct_kmers, distinct_kmers_sketched,
         kmer_first_seen, mix64_hash, cms_counters, cms_point_query,
         admission_round1, admission_final, admission_countmin, admission_ungated, decision_tsv, decision_tsv_plain,
         binomial_cutoffs, rare_kmer_counts,
@@ -550,7 +580,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         novelty_promoted, novelty_by_month, novelty_undivided, novelty_only, novelty_exact_nn,
         cluster_counts, cluster_sizes_by_month, sampled_drops,
         shards_by_bytes, sharded_promoted, phase2_merge, shard_limit, sketch_limit,
-        emit_promoted, emit_by_header, reduction_report, novelty_report, admission_report,
+        emit_promoted, emit_by_header, reduction_report, run_counters, novelty_report, admission_report,
         order_drift, mutual_coverage, order_verdict, calibration, stream_reduce,
     )
 }
