@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqthin.config import ReduceConfig
@@ -13,8 +15,11 @@ from seqthin.functions.calibrate import (
     sketch_bytes,
     threshold_for,
 )
+from seqthin.functions.similarity import equal_slots
 from seqthin.operators.signatures import Scheme, compare, pairs_between, tokens
 
+PAIRS, PAIRS_SEED = 4096, 23
+
 
 def best_related(sketches: DataFrame, kept: DataFrame, cfg: ReduceConfig) -> DataFrame:
     """(j, i, equal): for every record the kept one most like it among those that share a band.
@@ -31,17 +36,52 @@ def best_related(sketches: DataFrame, kept: DataFrame, cfg: ReduceConfig) -> Dat
     return best.select("j", "i", "equal")
 
 
-def suggest(pairs: DataFrame, cfg: ReduceConfig) -> DataFrame:
-    """Median divergence of related records and the settings that match it.
+def random_pairs(sketches: DataFrame, pairs: int = PAIRS, order: Column | None = None) -> DataFrame:
+    """(i, j, equal) of ``pairs`` random pairs of different records, fewer if there are fewer records.
 
-    The divergence of a pair is ``-ln(2j / (1 + j)) / k`` for similarity j.
+    The records that a hash puts first are taken, twice as many as pairs, and neighbours in
+    that order are paired.  Every pair of records is equally likely, no record is in two
+    pairs, and the work is one pass, whatever the number of records.
     """
-    j = F.col("equal") / F.lit(float(cfg.sketch))
-    d = -F.log(2 * j / (1 + j)) / cfg.k
+    mixed = F.xxhash64(F.lit(PAIRS_SEED), "ord") if order is None else order
+    few = sketches.select("ord", "sketch", mixed.alias("mixed")).orderBy("mixed", "ord").limit(2 * pairs)
+    # At most twice `pairs` rows from here on.
+    place = F.row_number().over(Window.orderBy("mixed", "ord")) - 1
+    few = few.withColumn("pair", F.floor(place / 2))
+    both = few.groupBy("pair").agg(
+        F.count("*").alias("n"), F.min_by("ord", "mixed").alias("i"), F.max_by("ord", "mixed").alias("j"),
+        F.min_by("sketch", "mixed").alias("a"), F.max_by("sketch", "mixed").alias("b"),
+    )
+    return both.where("n = 2").select("i", "j", equal_slots(F.col("a"), F.col("b")).alias("equal"))
+
+
+def divergence(cfg: ReduceConfig) -> Column:
+    """``-ln(2x / (1 + x)) / k`` of pairs that agree in a share x of their slots; 1 at most, and for none."""
+    x = F.col("equal") / F.lit(float(cfg.sketch))
+    return F.when(F.col("equal") == 0, 1.0).otherwise(F.least(F.lit(1.0), -F.log(2 * x / (1 + x)) / cfg.k))
+
+
+def divergence_sketches(pairs: DataFrame, cfg: ReduceConfig, by: list[str]) -> DataFrame:
+    """(``by``, sketch): quantile sketches of divergences, to be merged with ``kll_merge_agg_double``."""
+    return pairs.groupBy(*by).agg(F.kll_sketch_agg_double(divergence(cfg)).alias("sketch"))
+
+
+def rank_bound(pairs: Column, doubt: float = 0.01) -> Column:
+    """How far the sample's median may be from the middle rank of all pairs, but for a chance of ``doubt``."""
+    return F.sqrt(F.lit(math.log(2 / doubt)) / (2 * F.greatest(pairs, F.lit(1))))
+
+
+def suggest(pairs: DataFrame, cfg: ReduceConfig) -> DataFrame:
+    """Divergence of random pairs and the settings that match its median."""
+    d = divergence(cfg)
     k, m = F.lit(cfg.k), F.lit(cfg.sketch)
-    return pairs.agg(F.count("*").alias("pairs"), F.median(d).alias("median_divergence")).select(
+    return pairs.agg(
+        F.count("*").alias("pairs"), F.median(d).alias("median_divergence"), F.avg(d).alias("mean_divergence")
+    ).select(
         "pairs",
         "median_divergence",
+        "mean_divergence",
+        rank_bound(F.col("pairs")).alias("rank_bound"),
         threshold_for(F.col("median_divergence"), k).alias("suggested_threshold"),
         divergence_boundary(F.lit(cfg.threshold), k).alias("boundary"),
         resolution_floor(m).alias("slot_resolution"),
