@@ -545,7 +545,7 @@ def calibration(spark, sf):
     """Random pairs, in an order that SQL can repeat."""
     x = (F.col("ord") * 2654435761) % (1 << 31)
     x = (x.bitwiseXOR(F.shiftright(x, 15)) * 2246822519) % (1 << 31)
-    out = suggest(random_pairs(sketches(spark, sf), order=x.bitwiseXOR(F.shiftright(x, 13))), BASE)
+    out = suggest(random_pairs(gated(spark, sf, FLAT).admitted, order=x.bitwiseXOR(F.shiftright(x, 13))), BASE)
     return out.select(
         "pairs", *[F.round(c, 9).alias(c) for c in ("median_divergence", "mean_divergence", "rank_bound", "suggested_threshold", "boundary", "slot_resolution", "floor")],
         "bytes_per_record", "resolves",
