@@ -74,6 +74,11 @@ COLUMNS_OF = {
     "op9_hash_tree": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_winnowing": "doc_id n_words n_hit n_items items_sha256 contaminated",
 }
+OTHER_COLUMNS = {
+    "op11_tag_ratio": "page_id url text n_chars",
+    "op12_parsed_phrases": "lang rank phrase a l r n score",
+    "op13_adaptive_codes": "vec_id code error label_error codebooks_sha256",
+}
 
 
 @pytest.mark.parametrize("name", COLUMNS_OF)
@@ -83,7 +88,19 @@ def test_queries_give_every_document(spark, folder, name):
     assert got.columns == COLUMNS_OF[name].split()
     ids = sorted(r.doc_id for r in got.select("doc_id").distinct().collect())
     assert ids == sorted(r[0] for r in rows)
-    assert set(queries.QUERIES) == set(COLUMNS_OF)
+    assert set(queries.QUERIES) == set(COLUMNS_OF) | set(OTHER_COLUMNS)
+
+
+@pytest.mark.parametrize("name", OTHER_COLUMNS)
+def test_queries_over_other_rows(spark, tmp_path, name):
+    root = str(tmp_path)
+    documents = [(i, "one phrase of words. and more " * 9, None, "s", 1) for i in range(3)]
+    spark.createDataFrame(documents, tables.SCHEMA).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(1, "u", "<p>x")], "page_id bigint, url string, html string").write.parquet(f"{root}/pages.parquet")
+    vectors = [(i, [0.1 * i] * 8, None) for i in range(3)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
+    got = queries.QUERIES[name](spark, root)
+    assert got.columns == OTHER_COLUMNS[name].split() and got.count() > 0
 
 
 def test_empty_tables(spark, tmp_path):
