@@ -39,11 +39,6 @@ def text_slices(batch: pa.RecordBatch, budget: int = BYTES_PER_CALL, name: str =
         lo = hi
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    """Whole texts; null is empty."""
-    return [t or "" for t in batch.column(name).to_pylist()]
-
-
 def worker_state(key, make: Callable):
     """A value that a Python worker keeps between its tasks.
 

@@ -4,9 +4,8 @@ Documents are encoded in ascending doc_id order and cut into blocks of about a
 million ids.  Within a block, rounds replace frequent pairs of neighbouring ids by
 new ids (nonterminals): each round counts all pairs and gives every id that opens
 frequent pairs a rule with its most frequent follower; overlapping occurrences are
-taken from the left.  Rounds end when no pair is frequent, when a round saves
-little, or when new ids would no longer fit two bytes.  Pairs never cross the end
-of a document.
+taken from the left.  Rounds end when no pair is frequent, or when new ids would no
+longer fit two bytes.  Pairs never cross the end of a document.
 
 A file row (Parquet, written through Spark, so lost tasks are simply redone) holds
 one block: its rules, the length each rule expands to, the remaining ids, and the
@@ -29,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqthin.llm.batches import small_batches, text_slices, texts_of
-from seqthin.llm.tokens import encoder, with_end
+from seqthin.llm.batches import ranges, small_batches, text_slices
+from seqthin.llm.tokens import BYTES_AT_ONCE, encoder, with_end
 from seqthin.workspace import Workspace
 
 END = 2
@@ -38,7 +37,10 @@ VOCABULARY = 50_257
 BLOCK_IDS = 1 << 20
 ID_LIMIT = 1 << 16
 MIN_PAIRS = 8
-MIN_SAVING = 0.03
+#: Rules that stand for more ids are opened step by step, not from a table.
+TABLE_WIDTH = 64
+#: Places of infrequent pairs are dropped once the places kept are so many times the frequent ones.
+PRUNED_AT = 2
 
 BLOCK_SCHEMA = (
     "part int, block int, n_ids bigint, doc_ids array<bigint>, n_tokens array<int>, "
@@ -47,55 +49,111 @@ BLOCK_SCHEMA = (
 DOC_SCHEMA = "part int, block int, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def pair_rules(ids: np.ndarray, closing: np.ndarray, base: int, limit: int, least: int, saving: float):
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in ascending order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def found(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the ascending ones, and where."""
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return among[at] == keys, at
+
+
+class Block:
+    """Ids of a block as a chain, so that a replaced pair leaves a hole and moves nothing."""
+
+    def __init__(self, ids: np.ndarray, closing: np.ndarray):
+        n = len(ids)
+        # The last place stands for the outside, behind which nothing follows.
+        self.ids = np.append(ids, np.uint32(0)).astype(np.uint32)
+        self.after = np.append(np.arange(1, n + 1), n).astype(np.int32)
+        self.before = np.concatenate(([n], np.arange(n))).astype(np.int32)
+        self.opens = np.append(~closing, False)  # pairs never cross the end of a document
+        self.stands = np.append(np.ones(n, bool), False)
+
+    def pairs(self, at: np.ndarray) -> np.ndarray:
+        return (self.ids[at] << np.uint32(16)) | self.ids[self.after[at]]
+
+    def replace(self, at: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Put new ids for the pairs at ascending places; the pairs that vanish, those that appear, and where."""
+        second = self.after[at]
+        around = self.touched(at, second)
+        gone = self.pairs(around)
+        after = self.after[second]
+        self.ids[at], self.opens[at], self.after[at] = new, self.opens[second], after
+        self.before[after] = at
+        self.stands[second] = self.opens[second] = False
+        around = self.touched(at, at[:0])
+        return gone, self.pairs(around), around
+
+    def touched(self, at: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of pairs that hold a given place, each once."""
+        before = self.before[at]
+        follows = np.append(False, before[1:] == (second if len(second) else at)[:-1])
+        places = np.concatenate((at, second, before[~follows]))
+        return places[self.opens[places]]
+
+
+def chosen_pairs(pairs: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """The most frequent follower of each opening id, by falling count; ties go to smaller ids."""
+    order = np.lexsort((pairs, -counts, pairs >> np.uint32(16)))
+    left = pairs[order] >> np.uint32(16)
+    best = order[np.concatenate(([True], left[1:] != left[:-1]))]
+    return pairs[best[np.lexsort((pairs[best], -counts[best]))][:most]]
+
+
+def pair_rules(ids: np.ndarray, closing: np.ndarray, base: int, limit: int, least: int):
     """Grammar of a block: rules (n, 2), and what remains of the ids.
 
-    ``closing`` marks the last id of every document.
+    ``closing`` marks the last id of every document.  Pairs are counted once; later
+    rounds change the counts by the pairs that vanish and appear around replaced places.
+    A pair of old ids never gains occurrences, so infrequent ones are forgotten.
     """
-    rules, n_rules = [], 0
-    follower, number = np.zeros(limit, np.int64), np.zeros(limit, np.uint32)
-    while n_rules < limit - base and len(ids) > 1:
-        keys = ((ids[:-1] << np.uint32(16)) | ids[1:])[~closing[:-1]]
-        keys.sort()
-        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-        counts = np.diff(edges)
+    rules, n_rules = [np.zeros((0, 2), np.uint32)], 0
+    follower, number = np.full(limit, limit, np.uint32), np.zeros(limit, np.uint32)
+    block = Block(ids, closing)
+    block.opens &= block.after < len(ids)
+    live = block.opens.copy()
+    pairs, counts = tally(block.pairs(np.flatnonzero(live)))
+    while n_rules < limit - base:
         frequent = counts >= least
-        pairs, counts = keys[edges[:-1][frequent]], counts[frequent]
-        # The most frequent follower of each opening id; ties go to the smaller one.
-        left = pairs >> np.uint32(16)
-        order = np.lexsort((pairs, -counts, left))
-        opens = np.concatenate(([True], left[order][1:] != left[order][:-1])) if len(order) else np.zeros(0, bool)
-        best = order[opens]
-        best = best[np.lexsort((pairs[best], -counts[best]))][: limit - base - n_rules]
-        if not len(best):
+        pairs, counts = pairs[frequent], counts[frequent]
+        if not len(pairs):
             break
-        a, b = pairs[best] >> np.uint32(16), pairs[best] & np.uint32(0xFFFF)
-        follower[:] = -1
-        follower[a] = b
-        number[a] = base + n_rules + np.arange(len(best), dtype=np.uint32)
-        hit = (follower[ids[:-1]] == ids[1:]) & ~closing[:-1]
+        at = np.flatnonzero(live)
+        if len(at) > PRUNED_AT * counts.sum():
+            frequent, _ = found(block.pairs(at), pairs)
+            live[at[~frequent]] = False
+            at = at[frequent]
+        best = chosen_pairs(pairs, counts, limit - base - n_rules)
+        a, b = best >> np.uint32(16), best & np.uint32(0xFFFF)
+        follower[a], number[a] = b, np.arange(len(best), dtype=np.uint32)
+        at = at[follower[block.ids[at]] == block.ids[block.after[at]]]
+        follower[a] = limit
         # Of neighbouring hits every second one, counted from the left of their run.
-        at = np.flatnonzero(hit)
-        run = np.concatenate(([True], np.diff(at) > 1))
+        run = np.append(True, block.after[at[:-1]] != at[1:])
         since = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         at = at[since % 2 == 0]
-        used = np.bincount(number[ids[at]] - (base + n_rules), minlength=len(best)) > 0
+        rule = number[block.ids[at]]
         # Rules whose every occurrence was overlapped get no number.
-        renumber = np.cumsum(used) - 1
-        new = (base + n_rules + renumber[number[ids[at]] - (base + n_rules)]).astype(np.uint32)
+        used = np.bincount(rule, minlength=len(best)) > 0
         rules.append(np.stack([a[used], b[used]], axis=1))
+        gone, come, places = block.replace(at, (base + n_rules + np.cumsum(used) - 1).astype(np.uint32)[rule])
         n_rules += int(used.sum())
-        before = len(ids)
-        ids = ids.copy()
-        ids[at] = new
-        closing = closing.copy()
-        closing[at] = closing[at + 1]
-        stays = np.ones(before, bool)
-        stays[at + 1] = False
-        ids, closing = ids[stays], closing[stays]
-        if len(at) < saving * before:
-            break
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), ids
+        gone, n_gone = tally(gone)
+        known, where = found(gone, pairs)
+        counts[where[known]] -= n_gone[known]
+        come, n_come = tally(come)
+        # What appears holds a new id, so it was not counted before.
+        pairs, counts = np.concatenate((pairs, come)), np.concatenate((counts, n_come))
+        order = np.argsort(pairs)
+        pairs, counts = pairs[order], counts[order]
+        live[places] = True
+        live &= block.opens
+    return np.concatenate(rules), block.ids[block.stands]
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -111,20 +169,34 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out[base:]
 
 
-def expand(sequence: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids a sequence stands for."""
+def opened(ids: np.ndarray, inner: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The ids with the marked ones replaced by both sides of their rules."""
+    sizes = 1 + inner
+    first = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint32)
+    pairs = rules[ids[inner] - base]
+    out[first[~inner]] = ids[~inner]
+    out[first[inner]], out[first[inner] + 1] = pairs[:, 0], pairs[:, 1]
+    return out
+
+
+def expand(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids a sequence stands for.
+
+    Rules that stand for many ids are opened level by level; the others are looked up
+    in a table of their ids, which holds ``TABLE_WIDTH`` ids a rule at most.
+    """
     ids = sequence.astype(np.uint32)
-    while True:
-        inner = ids >= base
-        if not inner.any():
-            return ids
-        sizes = 1 + inner
-        first = np.cumsum(sizes) - sizes
-        out = np.empty(int(sizes.sum()), np.uint32)
-        pairs = rules[ids[inner] - base]
-        out[first[~inner]] = ids[~inner]
-        out[first[inner]], out[first[inner] + 1] = pairs[:, 0], pairs[:, 1]
-        ids = out
+    widths = np.concatenate((np.ones(base, np.int64), lengths))
+    while (long := widths[ids] > TABLE_WIDTH).any():
+        ids = opened(ids, long, rules, base)
+    short = np.flatnonzero(lengths <= TABLE_WIDTH)
+    table = (base + short).astype(np.uint32)
+    while (inner := table >= base).any():
+        table = opened(table, inner, rules, base)
+    first = np.arange(base + len(rules))
+    first[base + short] = base + np.cumsum(lengths[short]) - lengths[short]
+    return np.concatenate((np.arange(base, dtype=np.uint32), table))[ranges(first[ids], widths[ids])]
 
 
 def read_range(sequence, rules, lengths, base: int, start: int, n: int) -> np.ndarray:
@@ -133,13 +205,13 @@ def read_range(sequence, rules, lengths, base: int, start: int, n: int) -> np.nd
     ends = np.cumsum(wide)
     lo, hi = np.searchsorted(ends, [start, start + n - 1], side="right") if n else (0, -1)
     skipped = start - (ends[lo] - wide[lo]) if n else 0
-    return expand(sequence[lo : hi + 1], rules, base)[skipped : skipped + n]
+    return expand(sequence[lo : hi + 1], rules, lengths, base)[skipped : skipped + n]
 
 
-def block_row(part: int, block: int, docs: list, ids: np.ndarray, sizes: np.ndarray, base: int, limit: int, least: int, saving: float) -> dict:
+def block_row(part: int, block: int, docs: list, ids: np.ndarray, sizes: np.ndarray, base: int, limit: int, least: int) -> dict:
     closing = np.zeros(len(ids), bool)
     closing[np.cumsum(sizes) - 1] = True
-    rules, rest = pair_rules(ids, closing, base, limit, least, saving)
+    rules, rest = pair_rules(ids, closing, base, limit, least)
     return {
         "part": part, "block": block, "n_ids": len(ids), "doc_ids": docs, "n_tokens": sizes.tolist(),
         "rules": rules.astype("<u2").tobytes(),
@@ -150,7 +222,7 @@ def block_row(part: int, block: int, docs: list, ids: np.ndarray, sizes: np.ndar
 
 def write_repair(
     docs: DataFrame, path: str, tokenizer: str, end: int = END, base: int = VOCABULARY,
-    block_ids: int = BLOCK_IDS, limit: int = ID_LIMIT, least: int = MIN_PAIRS, saving: float = MIN_SAVING,
+    block_ids: int = BLOCK_IDS, limit: int = ID_LIMIT, least: int = MIN_PAIRS,
 ) -> None:
     """Encode whole texts of (doc_id, text) and write their blocks to ``path``.
 
@@ -170,13 +242,13 @@ def write_repair(
             nonlocal block, held, docs_held
             ids = np.concatenate([h[0] for h in held])
             sizes = np.concatenate([h[1] for h in held])
-            row = block_row(part, block, docs_held, ids, sizes, base, limit, least, saving)
+            row = block_row(part, block, docs_held, ids, sizes, base, limit, least)
             block, held, docs_held = block + 1, [], []
             return pa.RecordBatch.from_pylist([row], schema=fields)
 
         for batch in batches:
-            for piece in text_slices(batch):
-                ids, n = with_end(*enc.encode(texts_of(piece)), end)
+            for piece in text_slices(batch, BYTES_AT_ONCE):
+                ids, n = with_end(*enc.encode(piece.column("text")), end)
                 names = piece.column("doc_id").to_pylist()
                 at = lo = 0
                 while lo < len(n):
@@ -211,7 +283,8 @@ def read_repair(spark: SparkSession, path: str, base: int = VOCABULARY) -> DataF
         for batch in batches:
             for row in batch.to_pylist():
                 rules = np.frombuffer(row["rules"], "<u2").astype(np.uint32).reshape(-1, 2)
-                ids = expand(np.frombuffer(row["sequence"], "<u2"), rules, base).astype("<u4")
+                lengths = np.frombuffer(row["rule_lengths"], "<u4").astype(np.int64)
+                ids = expand(np.frombuffer(row["sequence"], "<u2"), rules, lengths, base).astype("<u4", copy=False)
                 n = np.array(row["n_tokens"], np.int64)
                 ends = np.cumsum(n)
                 raw = memoryview(ids.tobytes())
@@ -229,7 +302,7 @@ def read_repair(spark: SparkSession, path: str, base: int = VOCABULARY) -> DataF
     first = blocks.select("part", "block", "n_ids").join(part_first, "part").select(
         "part", "block", (F.col("part_first") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("first")
     )
-    read = blocks.select("part", "block", "doc_ids", "n_tokens", "rules", "sequence").mapInArrow(documents, DOC_SCHEMA)
+    read = blocks.select("part", "block", "doc_ids", "n_tokens", "rules", "rule_lengths", "sequence").mapInArrow(documents, DOC_SCHEMA)
     return read.join(first, ["part", "block"]).select(
         "doc_id", (F.col("first") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -2,36 +2,36 @@
 
 Such a tokenizer never joins what stands on either side of a blank between two
 words, so a text is cut there and each different piece is encoded once per worker
-(the pieces are remembered up to a bound).  New pieces are encoded many at a time,
-one to a line: a line end between words is always an id of its own.  Texts with
-blanks beside other white space, or with the string of a special token, are
-encoded whole.
+(the pieces are remembered up to a bound).  Arrow cuts a slice of texts and numbers
+its different pieces; only those are looked up one by one.  New pieces are encoded
+many at a time, one to a line: a line end between words is always an id of its own.
+Texts with blanks beside other white space, or with the string of a special token,
+are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from seqthin.llm.batches import ranges, worker_state
 
-PIECES_KEPT = 600_000
+PIECES_KEPT = 1_000_000
 LINES_PER_CALL = 200
+#: The more text at once, the fewer pieces are looked up again.
+BYTES_AT_ONCE = 4 << 20
 SPECIAL = "<|endoftext|>"
-#: White space besides blanks and line ends.
-RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-RARE_ASCII = [c for c in RARE_SPACES if c.isascii()]
-BLANK_BESIDE_SPACE = re.compile(r" \s|\s ")
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+BLANK_BESIDE_SPACE = f" [{SPACES}]|[{SPACES}] "
 
 
-def oddly_spaced(text: str) -> bool:
-    """Whether a blank stands beside other white space; plain searches settle most texts."""
-    if "  " in text or " \n" in text or "\n " in text:
-        return True
-    rare = RARE_ASCII if text.isascii() else RARE_SPACES
-    return any(c in text for c in rare) and BLANK_BESIDE_SPACE.search(text) is not None
+def encoded_whole(texts: pa.Array) -> np.ndarray:
+    """Which texts must not be cut at their blanks."""
+    odd = pc.or_(pc.match_substring_regex(texts, BLANK_BESIDE_SPACE), pc.match_substring(texts, SPECIAL))
+    return odd.to_numpy(zero_copy_only=False)
 
 
 class Pieces(dict):
@@ -91,26 +91,31 @@ class Encoder:
         self.flat = np.concatenate([self.flat, ids])
         self.sizes = np.concatenate([self.sizes, sizes])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row (uint32), and how many each text has."""
-        if not texts:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row (uint32), and how many each text has; null is empty."""
+        if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.known) > PIECES_KEPT:
             self.forget()
-        openings, rests, n_pieces = [], [], np.ones(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if oddly_spaced(t) or SPECIAL in t:
-                openings.append(t)
-            else:
-                opening, *rest = t.split(" ")
-                openings.append(opening)
-                rests += rest
-                n_pieces[i] += len(rest)
-        number = self.known.__getitem__
-        rest_at = np.fromiter(map(number, rests), np.int64, len(rests))
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = encoded_whole(texts)
+        cut = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        pieces, offsets = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        opens = np.zeros(len(pieces), bool)
+        opens[offsets[:-1]] = True
+        openings = np.empty(len(texts), object)
+        openings[whole] = texts.filter(pa.array(whole)).to_numpy(zero_copy_only=False)
+        openings[~whole] = pieces.filter(pa.array(opens)).to_numpy(zero_copy_only=False)
+        rest = pieces.filter(pa.array(~opens)).dictionary_encode()
+        different = rest.dictionary.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
+        rest_at = number[rest.indices.to_numpy()]
         if self.known.new:
             self._learn()
-        opened, opened_sizes = self._each(openings)
+        opened, opened_sizes = self._each(openings.tolist())
+        n_pieces = np.ones(len(texts), np.int64)
+        n_pieces[~whole] = np.diff(offsets)
         flat = np.concatenate([self.flat, opened])
         sizes = np.concatenate([self.sizes, opened_sizes])
         first = np.cumsum(sizes) - sizes

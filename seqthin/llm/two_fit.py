@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqthin.llm.batches import letting_go, small_batches, text_slices, texts_of
-from seqthin.llm.tokens import encoder, with_end
+from seqthin.llm.batches import letting_go, small_batches, text_slices
+from seqthin.llm.tokens import BYTES_AT_ONCE, encoder, with_end
 from seqthin.workspace import Workspace
 
 END = 0
@@ -126,8 +126,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> DataF
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows in text_slices(batch):
-                ids, n = with_end(*enc.encode(texts_of(rows)), end)
+            for rows in text_slices(batch, BYTES_AT_ONCE):
+                ids, n = with_end(*enc.encode(rows.column("text")), end)
                 doc, piece, start, length = cut(n, capacity)
                 at = (np.cumsum(n) - n)[doc] + start
                 raw = memoryview(ids.astype("<u4").tobytes())

@@ -44,11 +44,11 @@ def test_grammar_round_trip(seed):
     ids = rng.zipf(1.6, sizes.sum()).clip(max=90).astype(np.uint32)
     closing = np.zeros(len(ids), bool)
     closing[np.cumsum(sizes) - 1] = True
-    rules, rest = repair.pair_rules(ids, closing, 100, 200 if seed % 2 else 65536, 2, 0.0)
-    assert len(rest) < len(ids) and (repair.expand(rest, rules, 100) == ids).all()
-    assert len(rules) <= (100 if seed % 2 else 65436)
+    rules, rest = repair.pair_rules(ids, closing, 100, 200 if seed % 2 else 65536, 2)
     lengths = repair.expansion_lengths(rules, 100)
-    assert [len(repair.expand(np.array([100 + i]), rules, 100)) for i in range(len(rules))] == lengths.tolist()
+    assert len(rest) < len(ids) and (repair.expand(rest, rules, lengths, 100) == ids).all()
+    assert len(rules) <= (100 if seed % 2 else 65436)
+    assert [len(repair.expand(np.array([100 + i]), rules, lengths, 100)) for i in range(len(rules))] == lengths.tolist()
     ends = np.cumsum(sizes)
     for e, n in zip(ends, sizes):
         assert (repair.read_range(rest.astype(np.uint16), rules, lengths, 100, e - n, n) == ids[e - n : e]).all()
@@ -57,6 +57,28 @@ def test_grammar_round_trip(seed):
     assert np.isin(ends, np.cumsum(wide)).all()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(9)
+    phrases = [rng.integers(0, 90, rng.integers(2, 300)) for _ in range(30)]
+    ids = np.concatenate([phrases[i] for i in rng.zipf(1.3, 3000).clip(max=30) - 1]).astype(np.uint32)
+    ids = np.concatenate([ids, np.zeros(5000, np.uint32)])
+    closing = np.zeros(len(ids), bool)
+    closing[999::1000] = closing[-1] = True
+    rules, rest = repair.pair_rules(ids, closing, 100, 65536, 8)
+    lengths = repair.expansion_lengths(rules, 100)
+    # Long rules are opened step by step, short ones from the table.
+    assert lengths.max() > repair.TABLE_WIDTH > lengths.min()
+    assert (repair.expand(rest, rules, lengths, 100) == ids).all()
+    ends = np.isin(np.cumsum(np.concatenate((np.ones(100, np.int64), lengths))[rest]), np.flatnonzero(closing) + 1)
+    left, seen = {}, {}
+    for i in np.flatnonzero(~ends[:-1]).tolist():
+        pair = (int(rest[i]), int(rest[i + 1]))
+        # Occurrences that overlap count once.
+        if seen.get(pair, -2) + 1 < i:
+            left[pair], seen[pair] = left.get(pair, 0) + 1, i
+    assert max(left.values()) < 8
+
+
 def expected(encoder, rows, end):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start, out = 0, []
