@@ -6,9 +6,9 @@ need no copy of this package.
 
 from pyspark import cloudpickle
 
-from seqthin.functions import calibrate, kernels
+from seqthin.functions import calibrate, kernels, table_functions
 from seqthin.operators import kmers, sketch, superkmers
 from seqthin.sources import fasta_source
 
-for _module in (kernels, kmers, sketch, superkmers, calibrate, fasta_source):
+for _module in (kernels, kmers, sketch, superkmers, calibrate, fasta_source, table_functions):
     cloudpickle.register_pickle_by_value(_module)

@@ -371,6 +371,7 @@ FROM (SELECT i, j, {EQUAL} AS equal FROM (SELECT DISTINCT a.ord AS i, b.ord AS j
         "acgt_runs": seq + """SELECT ord, count(*) AS runs, max(length(run)) AS longest
 FROM (SELECT ord, unnest(regexp_split_to_array(seq, '[^ACGT]+')) AS run FROM seqs) WHERE length(run) >= 15 GROUP BY ord""",
         "kmers_canonical": km("SELECT ord, kmer FROM kmers"),
+        "kmers_in_sql": km("SELECT ord, kmer FROM kmers"),
         "kmer_counts": km("SELECT ord, coalesce(n_kmers, 0) AS n_kmers FROM gated LEFT JOIN nk USING (ord)"),
         "kmer_cap": km(f"""SELECT ord, coalesce(n, 0) AS n_kmers FROM gated LEFT JOIN (SELECT ord, count(DISTINCT kmer) AS n FROM
   (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY pos) AS rn FROM occurrences) WHERE rn <= {Q.CAP} GROUP BY ord) USING (ord)"""),
@@ -403,6 +404,7 @@ SELECT ord, kmer, reject, coalesce(sum(CASE WHEN reject THEN 0 ELSE 1 END) OVER
   (PARTITION BY kmer ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS df FROM kmers JOIN scored USING (ord)"""), recursive=True) + """
 SELECT ord, count_if(df <= cutoff)::BIGINT AS n_rare FROM held_df JOIN cuts ON n = greatest(1, ord - 1) GROUP BY ord""",
         "minhash_sketch": with_(*base(), *sketches(B)) + f"SELECT ord, {sketch_text(B)} AS sketch FROM sk",
+        "minhash_in_sql": with_(*base(), *sketches(B)) + f"SELECT ord, {sketch_text(B)} AS sketch FROM sk",
         "minhash_pcg64": with_(*base(Q.STRICT), *sketches(Q.STRICT)) + f"SELECT ord, {sketch_text(B)} AS sketch FROM sk",
         "lsh_bands": band_fold(),
         "jaccard_pairs": with_(*related, recursive=True) + f"SELECT i, j, equal, equal::DOUBLE / {B.sketch} AS jaccard FROM near",

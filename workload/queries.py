@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqthin.config import ReduceConfig
-from seqthin.functions import text
+from seqthin.functions import table_functions, text
 from seqthin.functions.calibrate import binomial_cutoff
 from seqthin.functions.similarity import sketch_hex
 from seqthin.operators import kmers as K
@@ -221,6 +221,25 @@ def kmers_canonical(spark, sf):
     return kmers(spark, sf).select("ord", "kmer")
 
 
+def _sql_records(spark, sf):
+    """SQL text of the passing records as (id, seq), for table functions."""
+    table_functions.register(spark, BASE, "seq_")
+    with_quality(stored(spark, sf), BASE).where("complete").createOrReplaceTempView("passing_records")
+    return "TABLE(SELECT ord AS id, seq FROM passing_records)"
+
+
+def kmers_in_sql(spark, sf):
+    """k-mers by a table function."""
+    return spark.sql(f"SELECT id AS ord, kmer FROM seq_kmers({_sql_records(spark, sf)})")
+
+
+def minhash_in_sql(spark, sf):
+    """Sketches merged from those of stretches."""
+    merged = table_functions.merged_sketch("sketch", BASE.sketch)
+    rows = spark.sql(f"SELECT id AS ord, {merged} AS sketch FROM seq_minhash_parts({_sql_records(spark, sf)}) GROUP BY id")
+    return rows.select("ord", sketch_hex(F.col("sketch")).alias("sketch"))
+
+
 def kmer_counts(spark, sf):
     return profile(spark, sf).where("complete").select("ord", "n_kmers")
 
@@ -575,11 +594,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         derive_sequences, fasta_round_trip, fasta_source_round_trip, fasta_stripped, seq_stats, completeness_gate, gate_report,
         month_histogram, header_truncate, acgt_runs,
-        kmers_canonical, kmer_counts, kmer_cap, kmer_df, kmer_letters, corpus_distinct_kmers, distinct_kmers_sketched,
+        kmers_canonical, kmers_in_sql, kmer_counts, kmer_cap, kmer_df, kmer_letters, corpus_distinct_kmers, distinct_kmers_sketched,
         kmer_first_seen, mix64_hash, cms_counters, cms_point_query,
         admission_round1, admission_final, admission_countmin, admission_ungated, decision_tsv, decision_tsv_plain,
         binomial_cutoffs, rare_kmer_counts,
-        minhash_sketch, minhash_pcg64, lsh_bands, jaccard_pairs, candidate_pairs,
+        minhash_sketch, minhash_in_sql, minhash_pcg64, lsh_bands, jaccard_pairs, candidate_pairs,
         novelty_promoted, novelty_by_month, novelty_undivided, novelty_only, novelty_exact_nn,
         cluster_counts, cluster_sizes_by_month, sampled_drops,
         shards_by_bytes, sharded_promoted, phase2_merge, shard_limit, sketch_limit,
