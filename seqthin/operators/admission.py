@@ -46,6 +46,7 @@ class History:
 
     cells: DataFrame  # shard, cell
     sums: DataFrame  # shard, n, s, q
+    first: DataFrame | None = None  # first holders of the batch's cells, if they are known already
 
 
 @dataclass
@@ -152,7 +153,8 @@ def admit(
     first = None
     if history is not None:
         # The batch's cells meet those of earlier batches, not the other way round.
-        first = ws.table(first_holders(passing, cfg, targets).join(history.cells, ["shard", "cell"], "left_anti"), "first-holders")
+        first = first_holders(passing, cfg, targets) if history.first is None else history.first
+        first = ws.table(first.join(history.cells, ["shard", "cell"], "left_anti"), "first-holders")
         counts = _count_singletons(first, passing, cfg)
     elif cfg.frequency != "exact":
         slices = ws.table(sketch.touch_slices(passing, cfg), "first-touches")  # no larger than the sketch
