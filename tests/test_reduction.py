@@ -128,3 +128,24 @@ def test_rare_kmers_by_hand(spark):
                 for w in mine:
                     held[w] = held.get(w, 0) + 1
     assert got == want
+
+
+def test_a_chain_of_relatives_takes_few_passes(spark):
+    """Near copies of a rejected record are rejected one after the other, without a pass over the sequences for each."""
+    records = [(h, s) for _, h, s in sequential.strain_collection(6, 40)]
+    rng = random.Random(9)
+    foreign = [rng.choice("ACGT") for _ in range(700)]
+    for i in range(8):
+        near = list(foreign)
+        for at in rng.sample(range(700), 3 * min(i, 1)):
+            near[at] = rng.choice("ACGT")
+        records.append((f"near{i}|none|x", "".join(near)))
+        records += records[i * 7 : i * 7 + 5]
+    records = [(i + 1, h, s) for i, (h, s) in enumerate(records)]
+    cfg = ReduceConfig(min_len=200, max_n_frac=0.5, warmup=100, frequency="exact", outlier_sd=2.0)
+    reducer = Reducer(spark, cfg)
+    out = reducer.gated_admission(spark.createDataFrame(records, SCHEMA))
+    verdicts = sequential.admit([(o, s) for o, _, s in records], cfg)
+    assert {r["ord"]: (r["decision"], r["n_singleton"]) for r in out.decisions().collect()} == verdicts
+    assert sum(verdicts[o][0] == "REJECT" for o, h, _ in records if h.startswith("near")) == 8
+    assert len(glob.glob(f"{reducer.ws.path}/*-disputed")) <= 2
