@@ -91,3 +91,37 @@ def test_batches_report_their_verdicts(spark, tmp_path):
         assert sum(p[verdict.lower()] for p in runner.progress) == want.count(verdict)
     assert [p["batch"] for p in runner.progress] == [0, 1]
     assert sum(p["promoted"] for p in runner.progress) == runner.table("kept").count()
+
+
+def test_best_related_compares_crowded_bands_in_tiles(spark, monkeypatch):
+    """Every record's best kept one, copies and a band that all records share included; no pair is a row."""
+    from seqthin.plans import calibration
+    from seqthin.sources.tables import spread
+
+    monkeypatch.setattr(calibration, "TILE", 16)
+    rng = random.Random(6)
+    rows = [(i, [1, 1] + [rng.randrange(3) for _ in range(6)]) for i in range(120)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)] + [(300, [7] * 8)]
+    kept = [i for i, _ in rows if i < 120 and i % 3 == 0]
+    want = {}
+    held = dict(rows)
+    for j, s in rows:
+        found = [(sum(x == y for x, y in zip(s, held[i])), -i) for i in kept if i != j
+                 and any(s[b : b + 2] == held[i][b : b + 2] for b in range(0, 8, 2))]
+        if found:
+            want[j] = (-max(found)[1], max(found)[0])
+    cfg = ReduceConfig(k=11, sketch=8, bands=4)
+    df = spread(spark.createDataFrame(rows, "ord bigint, sketch array<bigint>"), "ord")
+    got = calibration.best_related(df, spark.createDataFrame([(i,) for i in kept], "ord bigint"), cfg)
+    assert {r.j: (r.i, r.equal) for r in got.collect()} == want
+
+
+def test_calibration_measures_every_related_record(spark):
+    """More records than any sample: all are counted."""
+    from seqthin.plans.calibration import best_related
+
+    rows = [(i, [i // 2] * 16) for i in range(9000)]
+    df = spark.createDataFrame(rows, "ord bigint, sketch array<bigint>")
+    kept = df.where("ord % 2 = 0").select("ord")
+    got = suggest(best_related(df, kept, CFG), CFG).first()
+    assert got.pairs == 4500 and got.median_divergence == 0
