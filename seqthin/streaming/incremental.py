@@ -112,7 +112,8 @@ class IncrementalReducer:
         passing = quality.select(*KEY, "seq", "complete")
         usable = profile.where("complete AND n_kmers > 0")
         kmers = usable.agg(F.coalesce(F.sum("n_kmers"), F.lit(0))).first()[0]
-        first = ws.table(first_holders(passing, cfg, superkmers.target_count(kmers)), "first")
+        targets = superkmers.target_count(kmers)
+        first = ws.table(first_holders(passing, cfg, targets), "first")
         answers = self._remembered(first, usable, before, ws, batch_id)
         held = answers.where(F.col("kind") == CELL).select(F.lit(0).alias("shard"), F.col("item").alias("cell"))
         history = History(held.distinct(), self._of("sums", before), first)
@@ -128,7 +129,7 @@ class IncrementalReducer:
             met.select("ord", "sketch", *self.part),
         )
         kept = profile.join(kept, "ord", "left_semi")
-        self._save("cells", new_cells(passing, admission, cfg, history), batch_id)
+        self._save("cells", new_cells(passing, admission, cfg, history, targets), batch_id)
         self._save("sums", next_sums(admission, history), batch_id)
         promoted, judged = Observation(), Observation()
         kept = kept.select("shard", "ord", "header", "mbucket", "sketch").observe(promoted, F.count(F.lit(1)).alias("promoted"))

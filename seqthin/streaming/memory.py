@@ -6,6 +6,9 @@ query reads them, adds what is told, answers what is asked and ends.  It looks u
 the pages that the requests name, so a batch costs what it touches, however old the
 stream is.
 
+Cells travel packed, both ways: a row has those of a page that one task sends or asks for,
+eight bytes each, so the rows that Python sees grow with pages and tasks.
+
 State is keyed by a bucket of the hash of a cell or band key.  In a bucket, cells lie in
 pages by further bits of the hash, kept records under their band key in pages of bounded
 size; band keys are salted by record number.  Everything told is a set, so requests that
@@ -18,16 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-REQUEST = "kind string, told boolean, bucket int, page int, item bigint, ord bigint, mbucket int, sketch array<bigint>"
-ANSWER = "kind string, item bigint, ord bigint, mbucket int, sketch array<bigint>, pages bigint"
+REQUEST = "kind string, told boolean, bucket int, page int, item bigint, ord bigint, mbucket int, sketch array<bigint>, items binary"
+ANSWER = "kind string, item bigint, ord bigint, mbucket int, sketch array<bigint>, pages bigint, items binary"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CELL, KEPT, READ = "cell", "kept", "read"
 SALTS = 4
 PAGE = 256
+#: Cells a task gathers before it packs them.
+PACKED = 1 << 21
 
 
 class Memory(StatefulProcessor):
@@ -45,19 +51,21 @@ class Memory(StatefulProcessor):
         pass
 
     def _cells(self, requests: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        answers, pages = [], 0
+        pages = 0
         for page, part in requests.groupby("page"):
             found = self.cells.getValue((int(page),))
             held = np.frombuffer(bytes(found[0]), np.int64) if found else np.empty(0, np.int64)
-            told = part["told"].to_numpy(bool)
-            items = part["item"].to_numpy(np.int64)
-            now = np.union1d(held, items[told])
+            sent, asked = (
+                np.concatenate([np.empty(0, np.int64), *[np.frombuffer(bytes(b), np.int64) for b in part.loc[part["told"] == told, "items"]]])
+                for told in (True, False)
+            )
+            now = np.union1d(held, sent)
             if len(now) > len(held):
                 self.cells.updateValue((int(page),), (now.tobytes(),))
-            asked = items[~told]
-            answers.append(asked[np.isin(asked, now)])
+            known = asked[np.isin(asked, now)]
+            if len(known):
+                yield _answers(CELL, items=[known.tobytes()])
             pages += 1
-        yield _answers(CELL, item=np.concatenate(answers))
         yield _answers(READ, pages=np.array([pages]))
 
     def _kept(self, requests: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -98,11 +106,40 @@ def _unpacked(value: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ords, np.frombuffer(bytes(value[1]), np.int32), np.frombuffer(bytes(value[2]), np.int64).reshape(len(ords), -1)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for the cells of a page, of up to about ``PACKED`` cells at once."""
+
+    def give(parts: list) -> pa.RecordBatch:
+        bucket, page, item = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("bucket", "page", "item"))
+        order = np.lexsort((page, bucket))
+        bucket, page, item = bucket[order], page[order], item[order]
+        cut = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (page[1:] != page[:-1])))
+        items = [item[lo:hi].tobytes() for lo, hi in zip(cut, np.append(cut[1:], len(item)))]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(page[cut]), pa.array(items, pa.binary())], names=["bucket", "page", "items"])
+
+    parts, waiting = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append(batch)
+            waiting += batch.num_rows
+        if waiting >= PACKED:
+            yield give(parts)
+            parts, waiting = [], 0
+    if parts:
+        yield give(parts)
+
+
+def _unpacked_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for items in batch.column("items"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(items.as_py(), np.int64))], names=["item"])
+
+
 def _answers(kind: str, **columns) -> pd.DataFrame:
     n = len(next(iter(columns.values())))
     empty = pd.Series([None] * n, dtype=object)
     out = {"kind": pd.Series([kind] * n, dtype=object)}
-    for name, dtype in (("item", "Int64"), ("ord", "Int64"), ("mbucket", "Int32"), ("sketch", object), ("pages", "Int64")):
+    for name, dtype in (("item", "Int64"), ("ord", "Int64"), ("mbucket", "Int32"), ("sketch", object), ("pages", "Int64"), ("items", object)):
         out[name] = pd.Series(columns[name], dtype=dtype) if name in columns else empty.astype(dtype)
     return pd.DataFrame(out)
 
@@ -122,13 +159,18 @@ class BatchMemory:
     def cells(self, cells: DataFrame, told: bool) -> DataFrame:
         """Requests of (cell)."""
         mixed = F.xxhash64("cell")
-        return cells.select(
-            F.lit(CELL).alias("kind"),
-            F.lit(told).alias("told"),
+        rows = cells.select(
             F.pmod(mixed, F.lit(self.buckets)).cast("int").alias("bucket"),
             F.pmod(F.shiftright(mixed, 32), F.lit(self.pages)).cast("int").alias("page"),
             F.col("cell").alias("item"),
-            *[F.lit(None).cast(t).alias(c) for c, t in (("ord", "bigint"), ("mbucket", "int"), ("sketch", "array<bigint>"))],
+        )
+        return rows.mapInArrow(_packed, "bucket int, page int, items binary").select(
+            F.lit(CELL).alias("kind"),
+            F.lit(told).alias("told"),
+            "bucket",
+            "page",
+            *[F.lit(None).cast(t).alias(c) for c, t in (("item", "bigint"), ("ord", "bigint"), ("mbucket", "int"), ("sketch", "array<bigint>"))],
+            "items",
         )
 
     def kept(self, records: DataFrame) -> DataFrame:
@@ -149,6 +191,7 @@ class BatchMemory:
             "page",
             F.col("key").alias("item"),
             "ord", "mbucket", "sketch",
+            F.lit(None).cast("binary").alias("items"),
         )
 
     def answers(self, requests: DataFrame, run: str) -> DataFrame:
@@ -170,4 +213,8 @@ class BatchMemory:
             .start()
         )
         query.awaitTermination()
-        return self.spark.read.schema(ANSWER).parquet(f"{told}/*")
+        found = self.spark.read.schema(ANSWER).parquet(f"{told}/*")
+        others = found.where(F.col("kind") != CELL).drop("items")
+        cells = found.where(F.col("kind") == CELL).select("items").mapInArrow(_unpacked_cells, "item bigint")
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in others.schema if f.name not in ("kind", "item")]
+        return others.unionByName(cells.select(F.lit(CELL).alias("kind"), "item", *empty))

@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from seqthin.streaming.memory import CELL, KEPT, PAGE, READ, BatchMemory
 
 
@@ -48,3 +50,9 @@ def test_other_cells_cost_nothing(spark, tmp_path):
     _run(spark, folder, "0", range(5000), [], [], [])
     held, _, pages, named = _run(spark, folder, "1", [], [17], [], [])
     assert held == {17} and pages == named == 1
+
+
+def test_cells_travel_packed(spark, tmp_path):
+    memory = BatchMemory(spark, str(tmp_path / "memory"), buckets=2, pages=2, partitions=2)
+    many = spark.range(20_000).select((F.col("id") * 7919 - 5).alias("cell")).coalesce(1)
+    assert memory.cells(many, True).count() == 4
