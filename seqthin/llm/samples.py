@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents."""
+"""Labels of documents, and bounded samples of labelled documents."""
 
 from __future__ import annotations
 
@@ -12,6 +12,16 @@ def id_remainder(parts: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(parts))
 
 
+def known_labels(labels: DataFrame, label: str, allowed: Column | None = None) -> DataFrame:
+    """(doc_id, label), one row per id; null ids or labels and ids with contradicting labels are left out."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
+        F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)
+    )
+    known = known.where(allowed) if allowed is not None else known
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
+    return known.where("label = most").select("doc_id", "label")
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column | None = None
 ) -> DataFrame:
@@ -20,12 +30,7 @@ def labelled_sample(
     Documents are taken by the hash of their id.  Rows with a null id or label, and
     ids with contradicting labels, are left out; of rows with equal id one counts.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
-        F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)
-    )
-    known = known.where(allowed) if allowed is not None else known
-    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
-    known = known.where("label = most").select("doc_id", "label", F.xxhash64("doc_id").alias("h"))
+    known = known_labels(labels, label, allowed).withColumn("h", F.xxhash64("doc_id"))
     chosen = [known.where(F.col("label") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     # At most twice `per_class` rows of two numbers.
     few = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "label"))

@@ -101,3 +101,32 @@ assert main_text.extract(spark.createDataFrame([(1, "u", "<p>x")], "page_id int,
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_every_labelled_document_counts(spark):
+    # One toxic word is in documents only whose ids have the largest hashes.
+    docs = spark.range(12000).selectExpr(
+        "id AS doc_id", """concat('plain', id % 40, ' number', id, ' of', id % 7, CASE WHEN id % 2 = 0 THEN ''
+        WHEN xxhash64(id) > 6000000000000000000 THEN ' zorgword' ELSE ' scum' END) AS text""",
+    )
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS toxic")
+    net = word_cnn.fit_toxicity(docs, labels)
+    _, row, _, _ = word_cnn.word_parts(pa.array(["zorgword scum"]))
+    assert np.isin(row[:, 0], net.rows).all()
+    said = net.scores(pa.array(["plain1 of2 zorgword", "plain1 scum", "plain1 of2", ""]), word_cnn.language_table()) >= 0.5
+    assert said.tolist() == [True, True, False, False]
+
+
+def test_words_far_from_answering_ones_change_nothing(spark):
+    rng = random.Random(5)
+    words = [["scum", "idiot"][rng.random() < 0.5] if rng.random() < 0.15 else rng.choice("abcdefgh") for _ in range(3000)]
+    texts = [" ".join(words[i : i + rng.randrange(0, 30)]) for i in range(0, 2900, 20)] + ["", "scum", "a", "a b c d scum", "scum a b c d"]
+    h, row, doc, n = word_cnn.word_parts(pa.array(texts))
+    known = np.unique(word_cnn.word_parts(pa.array(["scum idiot"]))[1][:, 0])
+    gen = np.random.default_rng(2)
+    net = word_cnn.first_net(known, np.array([1.0, -2.0]), gen)
+    rows = spark.createDataFrame([(t, i, i, False) for i, t in enumerate(texts)], "text string, doc_id bigint, order bigint, back boolean")
+    left = word_cnn.answering_words(rows, net).orderBy("order").collect()
+    at, of = word_cnn.placed([bytes(r.words) for r in left])
+    assert np.allclose(net.placed_logits(at, of, n), net.logits(row, doc, n), atol=1e-5)
+    assert len(at) < len(row)
