@@ -1,10 +1,16 @@
 """Steps whose work must grow no faster than their input."""
 
+import random
+from collections import Counter
+
 import numpy as np
 
+from seqthin.config import ReduceConfig
 from seqthin.operators import admission, clusters, signatures, superkmers
 from seqthin.operators.signatures import Scheme
+from seqthin.plans.reduce import Reducer
 from seqthin.workspace import Workspace
+from tests import sequential
 
 
 def test_relatives_come_after_what_is_rejected(spark):
@@ -66,3 +72,41 @@ def test_joint_sort_is_left_for_wide_numbers():
     kmer, ord_ = np.array([3, 3, 1], np.uint64), np.array([1 << 40, 5, -2])
     assert [x.tolist() for x in superkmers._pairs(kmer, ord_)] == [[1, 3, 3], [-2, 5, 1 << 40]]
     assert not superkmers._narrow(np.array([1 << 40], np.uint64), np.array([1]))
+
+
+def test_sequences_are_cut_into_runs_once(spark, monkeypatch):
+    """All passes of admission, and what asks for admitted k-mers after it, read the runs the first one wrote."""
+    records = [(h, s) for _, h, s in sequential.strain_collection(6, 25)]
+    rng = random.Random(9)
+    foreign = "".join(rng.choice("ACGT") for _ in range(700))
+    for i in range(4):
+        records.append((f"near{i}|none|x", foreign[: 700 - 90 * i]))
+        records += records[i * 7 : i * 7 + 5]
+    records = [(i + 1, h, s) for i, (h, s) in enumerate(records)]
+    cfg = ReduceConfig(min_len=200, max_n_frac=0.5, warmup=100, frequency="exact", outlier_sd=2.0)
+    calls, sequences = [], superkmers._sequences
+    monkeypatch.setattr(superkmers, "_sequences", lambda *a: calls.append(1) or sequences(*a))
+    out = Reducer(spark, cfg).gated_admission(spark.createDataFrame(records, "ord bigint, header string, seq string"))
+    done = out.admission
+    rejected = {r["ord"] for r in done.rejects.collect()}
+    assert rejected and done.rounds > 1
+    held = Counter(w for o, _, s in records if o not in rejected for w in sequential.kmers(s, cfg.k))
+    got = superkmers.frequencies_of(done.runs, cfg, done.rejects).collect()
+    assert len(got) == len(held) and {r["kmer"]: r["df"] for r in got} == held
+    assert [r["n"] for r in superkmers.distinct_counts_of(done.runs, cfg, done.rejects).collect()] == [len(held)]
+    assert superkmers.distinct_counts_of(done.runs, cfg, out.profile.select("shard", "ord")).collect() == []
+    assert len(calls) == 1
+    out.release()
+
+
+def test_runs_come_by_shard_target_and_record(spark):
+    """Whether records lie in order or not."""
+    rng = random.Random(2)
+    rows = [(i // 9, i, "".join(rng.choice("ACGT") for _ in range(300))) for i in range(30)]
+    cfg = ReduceConfig(k=9, shards=4, frequency="exact")
+    for some in (rows, rng.sample(rows, len(rows))):
+        df = spark.createDataFrame(some, "shard int, ord bigint, seq string").coalesce(1)
+        for targets in (5, 30_000):
+            for r in superkmers.runs_of(df, cfg, targets).collect():
+                ords = np.frombuffer(r["ords"], np.int64)
+                assert r["first"] == ords[0] and (np.diff(ords) >= 0).all() and (ords // 9 == r["shard"]).all()
