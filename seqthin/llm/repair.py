@@ -2,8 +2,8 @@
 
 Documents are encoded in ascending doc_id order and cut into blocks of about a
 million ids.  Within a block, rounds replace frequent pairs of neighbouring ids by
-new ids (nonterminals): each round counts all pairs and gives every id that opens
-frequent pairs a rule with its most frequent follower; overlapping occurrences are
+new ids (nonterminals): each round gives rules to the most frequent pair and to all
+that occur at least a sixteenth as often; overlapping occurrences are
 taken from the left.  Rounds end when no pair is frequent, or when new ids would no
 longer fit two bytes.  Pairs never cross the end of a document.
 
@@ -39,6 +39,10 @@ ID_LIMIT = 1 << 16
 MIN_PAIRS = 8
 #: Rules that stand for more ids are opened step by step, not from a table.
 TABLE_WIDTH = 64
+#: A round takes the pairs down to this part of the most frequent one's occurrences.
+LEVEL = 16
+#: Pairs are looked for in a table of so many bits first.
+TABLE_BITS = 20
 #: Places of infrequent pairs are dropped once the places kept are so many times the frequent ones.
 PRUNED_AT = 2
 
@@ -98,11 +102,26 @@ class Block:
 
 
 def chosen_pairs(pairs: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """The most frequent follower of each opening id, by falling count; ties go to smaller ids."""
-    order = np.lexsort((pairs, -counts, pairs >> np.uint32(16)))
-    left = pairs[order] >> np.uint32(16)
-    best = order[np.concatenate(([True], left[1:] != left[:-1]))]
-    return pairs[best[np.lexsort((pairs[best], -counts[best]))][:most]]
+    """The pairs of the highest level, ascending; of too many the most frequent ones, ties go to smaller ids."""
+    some = np.flatnonzero(counts * LEVEL >= counts.max())
+    if len(some) > most:
+        some = some[np.lexsort((pairs[some], -counts[some]))][:most]
+    return np.sort(pairs[some])
+
+
+class Among:
+    """Tells which pairs may be among some, by one bit of a hash table."""
+
+    def __init__(self):
+        self.table = np.zeros(1 << TABLE_BITS, bool)
+
+    def __call__(self, pairs: np.ndarray, some: np.ndarray) -> np.ndarray:
+        slot = lambda p: (p * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
+        mine = slot(some)
+        self.table[mine] = True
+        out = self.table[slot(pairs)]
+        self.table[mine] = False
+        return out
 
 
 def pair_rules(ids: np.ndarray, closing: np.ndarray, base: int, limit: int, least: int):
@@ -112,36 +131,33 @@ def pair_rules(ids: np.ndarray, closing: np.ndarray, base: int, limit: int, leas
     rounds change the counts by the pairs that vanish and appear around replaced places.
     A pair of old ids never gains occurrences, so infrequent ones are forgotten.
     """
-    rules, n_rules = [np.zeros((0, 2), np.uint32)], 0
-    follower, number = np.full(limit, limit, np.uint32), np.zeros(limit, np.uint32)
+    rules, n_rules, among = [np.zeros((0, 2), np.uint32)], 0, Among()
     block = Block(ids, closing)
     block.opens &= block.after < len(ids)
-    live = block.opens.copy()
-    pairs, counts = tally(block.pairs(np.flatnonzero(live)))
+    at = np.flatnonzero(block.opens)
+    here = block.pairs(at)
+    pairs, counts = tally(here)
     while n_rules < limit - base:
         frequent = counts >= least
         pairs, counts = pairs[frequent], counts[frequent]
         if not len(pairs):
             break
-        at = np.flatnonzero(live)
         if len(at) > PRUNED_AT * counts.sum():
-            frequent, _ = found(block.pairs(at), pairs)
-            live[at[~frequent]] = False
-            at = at[frequent]
+            some = among(here, pairs)
+            at, here = at[some], here[some]
         best = chosen_pairs(pairs, counts, limit - base - n_rules)
-        a, b = best >> np.uint32(16), best & np.uint32(0xFFFF)
-        follower[a], number[a] = b, np.arange(len(best), dtype=np.uint32)
-        at = at[follower[block.ids[at]] == block.ids[block.after[at]]]
-        follower[a] = limit
+        some = np.flatnonzero(among(here, best))
+        hit, rule = found(here[some], best)
+        hits, rule = at[some[hit]], rule[hit]
         # Of neighbouring hits every second one, counted from the left of their run.
-        run = np.append(True, block.after[at[:-1]] != at[1:])
-        since = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[since % 2 == 0]
-        rule = number[block.ids[at]]
+        run = np.append(True, block.after[hits[:-1]] != hits[1:])
+        since = np.arange(len(hits)) - np.maximum.accumulate(np.where(run, np.arange(len(hits)), 0))
+        taken = since % 2 == 0
+        hits, rule = hits[taken], rule[taken]
         # Rules whose every occurrence was overlapped get no number.
         used = np.bincount(rule, minlength=len(best)) > 0
-        rules.append(np.stack([a[used], b[used]], axis=1))
-        gone, come, places = block.replace(at, (base + n_rules + np.cumsum(used) - 1).astype(np.uint32)[rule])
+        rules.append(np.stack([best[used] >> np.uint32(16), best[used] & np.uint32(0xFFFF)], axis=1))
+        gone, come, places = block.replace(hits, (base + n_rules + np.cumsum(used) - 1).astype(np.uint32)[rule])
         n_rules += int(used.sum())
         gone, n_gone = tally(gone)
         known, where = found(gone, pairs)
@@ -151,8 +167,10 @@ def pair_rules(ids: np.ndarray, closing: np.ndarray, base: int, limit: int, leas
         pairs, counts = np.concatenate((pairs, come)), np.concatenate((counts, n_come))
         order = np.argsort(pairs)
         pairs, counts = pairs[order], counts[order]
-        live[places] = True
-        live &= block.opens
+        live = np.zeros(len(ids) + 1, bool)
+        live[at] = live[places] = True
+        at = np.flatnonzero(live & block.opens)
+        here = block.pairs(at)
     return np.concatenate(rules), block.ids[block.stands]
 
 

@@ -165,3 +165,29 @@ def test_two_take_the_place_of_one():
     counts[[60, 25, 20, 19]] = 1
     # 60 + 25 leaves 15; 25 gives way to 20 and 19, which leave 1.
     assert sorted(two_fit._fill(counts, 100)) == [19, 20, 60]
+
+
+def test_followers_of_one_id_share_a_round(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids = np.stack([np.full(800, 1), 2 + rng.permutation(np.repeat(np.arange(40), 20)), 50 + np.arange(800)], axis=1).reshape(-1).astype(np.uint32)
+    closing = np.zeros(len(ids), bool)
+    closing[2::3] = True
+    calls, chosen = [], repair.chosen_pairs
+    monkeypatch.setattr(repair, "chosen_pairs", lambda *a: calls.append(1) or chosen(*a))
+    rules, rest = repair.pair_rules(ids, closing, 1000, 65536, 8)
+    assert len(calls) == 1 and sorted(map(tuple, rules.tolist())) == [(1, 2 + i) for i in range(40)]
+    assert len(rest) == 1600 and (repair.expand(rest, rules, repair.expansion_lengths(rules, 1000), 1000) == ids).all()
+
+
+def test_words_of_letters_go_without_the_pattern():
+    encoder = Encoder(tokenizer_path())
+    words = ["über", "Straße", "naïve", "don't", "a1", "x", "Ωmega", "é", "×", "word,", "ﬁn", "I", "ÿÀ", "tab\tbed", "line\nend", "İx"]
+    texts = ["the " + " ".join(words), " ".join(reversed(words)), "  two blanks über"]
+    ids, n = encoder.encode(texts)
+    want = whole(encoder, texts)
+    assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+    asked = []
+    encoder.forget()
+    encoder._ids = lambda texts, tokenizer=None: asked.append((tokenizer is encoder.of_words, texts)) or Encoder._ids(encoder, texts, tokenizer)
+    encoder.encode(["a über word, x"])
+    assert [t for mine, t in asked if mine] == [[" über\n x\n"]]
