@@ -125,3 +125,27 @@ def test_calibration_measures_every_related_record(spark):
     kept = df.where("ord % 2 = 0").select("ord")
     got = suggest(best_related(df, kept, CFG), CFG).first()
     assert got.pairs == 4500 and got.median_divergence == 0
+
+
+def test_calibration_counts_all_pairs(spark, monkeypatch):
+    """Unrelated records and copies included, whatever the blocks, and slots that most records share."""
+    from seqthin.plans import calibration
+
+    monkeypatch.setattr(calibration, "BLOCK", 40)
+    monkeypatch.setattr(calibration, "PART", 16)
+    rng = random.Random(12)
+    for values in (400, 3):
+        rows = [[rng.randrange(values) for _ in range(16)] for _ in range(150)]
+        rows += [rows[i % 7] for i in range(30)]
+        held = np.array(rows)
+        equal = np.concatenate([(held[i + 1 :] == held[i]).sum(1) for i in range(len(held))])
+        df = spark.createDataFrame([(r,) for r in rows], "sketch array<bigint>")
+        pairs = calibration.pair_counts(df, CFG)
+        assert {r.equal: r.n for r in pairs.collect()} == {int(e): int(n) for e, n in zip(*np.unique(equal, return_counts=True))}
+        x = equal / 16
+        with np.errstate(divide="ignore"):
+            d = np.where(equal == 0, 1.0, np.minimum(1, -np.log(2 * x / (1 + x)) / 11))
+        got = suggest(pairs, CFG).first()
+        assert got.pairs == len(equal) and math.isclose(got.median_divergence, np.median(d)) and math.isclose(got.mean_divergence, d.mean())
+    none = calibration.pair_counts(df.limit(1), CFG)
+    assert suggest(none, CFG).first().pairs == 0
