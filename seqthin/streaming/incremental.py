@@ -27,7 +27,7 @@ from seqthin.operators.signatures import KEY_LIMIT, novelty_scheme, tokens
 from seqthin.plans.reduce import decisions, partition_columns
 from seqthin.sources.fasta import parse_fasta
 from seqthin.sources.order import ROWS_PER_CHUNK, with_ordinal
-from seqthin.streaming.memory import CELL, KEPT, READ, BatchMemory
+from seqthin.streaming.memory import ANSWER, CELL, KEPT, READ, BatchMemory
 from seqthin.workspace import Workspace
 
 #: Tables of the stream: cells are those the last batches added, the others grow with the results.
@@ -150,6 +150,8 @@ class IncrementalReducer:
     def _remembered(self, first: DataFrame, usable: DataFrame, before: int | None, ws: Workspace, batch_id: int) -> DataFrame:
         """What earlier batches know about this one's cells and band keys."""
         memory = self.memory
+        if before is None:  # nobody has told anything yet
+            return self.spark.createDataFrame([], ANSWER).drop("items")
         requests = memory.cells(self._of("cells", before), True).unionByName(
             memory.cells(first.select("cell"), False)
         )

@@ -6,12 +6,16 @@ query reads them, adds what is told, answers what is asked and ends.  It looks u
 the pages that the requests name, so a batch costs what it touches, however old the
 stream is.
 
-Cells travel packed, both ways: a row has those of a page that one task sends or asks for,
-eight bytes each, so the rows that Python sees grow with pages and tasks.
+Cells travel packed, both ways, and so do the band keys asked for: a row has those of a page
+that one task sends or asks for, eight bytes each, so the rows that Python sees grow with pages
+and tasks.
 
 State is keyed by a bucket of the hash of a cell or band key.  In a bucket, cells lie in
-pages by further bits of the hash, kept records under their band key in pages of bounded
-size; band keys are salted by record number.  Everything told is a set, so requests that
+pages by further bits of the hash.  Kept records lie, once a band key, in numbered pages of
+bounded size, filled as they come, for each of the same stretches of the hash; the numbers
+of the pages that hold a band key are kept beside, so keys that nobody told of are found
+missing together, and only pages that hold one asked for are read.  Band keys are salted by
+record number.  Everything told is a set, so requests that
 are sent again after a failure change nothing.  Nothing expires.
 """
 
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,8 +36,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 CELL, KEPT, READ = "cell", "kept", "read"
 SALTS = 4
 PAGE = 256
-#: Cells a task gathers before it packs them.
+#: Cells or band keys a task gathers before it packs them.
 PACKED = 1 << 21
+#: Kept records that a bucket gathers before it answers.
+GIVEN = 1 << 13
 
 
 class Memory(StatefulProcessor):
@@ -41,7 +47,8 @@ class Memory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cells = handle.getMapState("cells", "page int", "held binary")
-        self.kept = handle.getMapState("kept", "item bigint, page int", "ord binary, mbucket binary, sketch binary")
+        self.names = handle.getMapState("names", "page int", "item binary, number binary")
+        self.kept = handle.getMapState("kept", "page int, number int", "item binary, ord binary, mbucket binary, sketch binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         requests = pd.concat(list(rows), ignore_index=True)
@@ -69,41 +76,74 @@ class Memory(StatefulProcessor):
         yield _answers(READ, pages=np.array([pages]))
 
     def _kept(self, requests: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        pages = 0
-        for item, part in requests.groupby("item"):
-            records, page = [], 0
-            while found := self.kept.getValue((int(item), page)):
-                records.append(_unpacked(found))
-                page += 1
-            known = {o for ords, _, _ in records for o in ords.tolist()}
-            told = part[part["told"].to_numpy(bool)].drop_duplicates("ord")
-            told = told[~told["ord"].isin(known)]
-            if len(told):
-                self._append(int(item), records, told)
-            if not part["told"].all():
-                for ords, months, sketches in records:
-                    yield _answers(KEPT, item=np.full(len(ords), item), ord=ords, mbucket=months, sketch=list(sketches))
-            pages += max(page, 1)
-        yield _answers(READ, pages=np.array([pages]))
-
-    def _append(self, item: int, records: list, told: pd.DataFrame) -> None:
-        ords, months = told["ord"].to_numpy(np.int64), told["mbucket"].to_numpy(np.int32)
-        sketches = np.stack(told["sketch"].to_list()).astype(np.int64)
-        page = len(records)
-        if records and len(records[-1][0]) < PAGE:
-            last = records.pop()
-            page -= 1
-            ords, months, sketches = (np.concatenate(both) for both in zip(last, (ords, months, sketches)))
-        for lo in range(0, len(ords), PAGE):
-            some = tuple(a[lo : lo + PAGE] for a in (ords, months, sketches))
-            self.kept.updateValue((item, page), tuple(a.tobytes() for a in some))
-            records.append(some)
-            page += 1
-
-
-def _unpacked(value: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ords = np.frombuffer(bytes(value[0]), np.int64)
-    return ords, np.frombuffer(bytes(value[1]), np.int32), np.frombuffer(bytes(value[2]), np.int64).reshape(len(ords), -1)
+        looked, found, waiting = 0, [], 0
+        for page, part in requests.groupby("page"):
+            page, told = int(page), part["told"].to_numpy(bool)
+            named = self.names.getValue((page,))
+            item = np.frombuffer(bytes(named[0]), np.int64) if named else np.empty(0, np.int64)
+            where = np.frombuffer(bytes(named[1]), np.int32) if named else np.empty(0, np.int32)
+            asked = np.unique(np.concatenate([np.empty(0, np.int64), *[np.frombuffer(bytes(b), np.int64) for b in part.loc[~told, "items"]]]))
+            sent, last, tail = _sent(part[told]), int(where.max(initial=-1)), None
+            # Only pages that hold a name asked for or told of are read, and the last one, which may have room.
+            needed = set(where[np.isin(item, np.concatenate([asked, sent[0]]))].tolist()) | ({last} if len(sent[0]) and last >= 0 else set())
+            looked += 1 + len(needed)
+            for n in sorted(needed):
+                held = _unpacked(self.kept.getValue((page, n)))
+                sent = _unlike(sent, held)
+                tail = held if n == last else None
+                some = np.isin(held[0], asked)
+                found.append(tuple(a[some] for a in held))
+                waiting += int(some.sum())
+                if waiting >= GIVEN:
+                    yield _records(found)
+                    found, waiting = [], 0
+            if not len(sent[0]):
+                continue
+            some = np.isin(sent[0], asked)
+            found += [tuple(a[some] for a in sent)] if some.any() else []
+            waiting += int(some.sum())
+            if tail is not None and len(tail[0]) < PAGE:
+                sent, first = tuple(np.concatenate(both) for both in zip(tail, sent)), last
+            else:
+                first = last + 1
+            item, where = [item[where < first]], [where[where < first]]
+            for n, lo in enumerate(range(0, len(sent[0]), PAGE), first):
+                some = tuple(a[lo : lo + PAGE] for a in sent)
+                self.kept.updateValue((page, n), tuple(a.tobytes() for a in some))
+                item.append(np.unique(some[0]))
+                where.append(np.full(len(item[-1]), n, np.int32))
+            self.names.updateValue((page,), (np.concatenate(item).tobytes(), np.concatenate(where).tobytes()))
+        if waiting:
+            yield _records(found)
+        yield _answers(READ, pages=np.array([looked]))
+
+
+def _sent(told: pd.DataFrame) -> tuple:
+    """(item, ord, mbucket, sketch) of what is told, each record once a name."""
+    told = told.drop_duplicates(["item", "ord"])
+    sketches = np.stack(told["sketch"].to_list()).astype(np.int64) if len(told) else np.empty((0, 0), np.int64)
+    return told["item"].to_numpy(np.int64), told["ord"].to_numpy(np.int64), told["mbucket"].to_numpy(np.int32), sketches
+
+
+def _unlike(sent: tuple, held: tuple) -> tuple:
+    """What is told without the records that a page has under the same names."""
+    if not len(sent[0]):
+        return sent
+    known = {*zip(held[0].tolist(), held[1].tolist())}
+    new = np.array([pair not in known for pair in zip(sent[0].tolist(), sent[1].tolist())])
+    return tuple(a[new] for a in sent)
+
+
+def _records(found: list) -> pd.DataFrame:
+    found = [f for f in found if len(f[0])]
+    item, ords, months, sketches = (np.concatenate(x) for x in zip(*found))
+    return _answers(KEPT, item=item, ord=ords, mbucket=months, sketch=list(sketches))
+
+
+def _unpacked(value: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, ord, mbucket, sketch) of a page."""
+    items = np.frombuffer(bytes(value[0]), np.int64)
+    return items, np.frombuffer(bytes(value[1]), np.int64), np.frombuffer(bytes(value[2]), np.int32), np.frombuffer(bytes(value[3]), np.int64).reshape(len(items), -1)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,40 +198,35 @@ class BatchMemory:
 
     def cells(self, cells: DataFrame, told: bool) -> DataFrame:
         """Requests of (cell)."""
-        mixed = F.xxhash64("cell")
-        rows = cells.select(
-            F.pmod(mixed, F.lit(self.buckets)).cast("int").alias("bucket"),
-            F.pmod(F.shiftright(mixed, 32), F.lit(self.pages)).cast("int").alias("page"),
-            F.col("cell").alias("item"),
-        )
-        return rows.mapInArrow(_packed, "bucket int, page int, items binary").select(
-            F.lit(CELL).alias("kind"),
-            F.lit(told).alias("told"),
-            "bucket",
-            "page",
-            *[F.lit(None).cast(t).alias(c) for c, t in (("item", "bigint"), ("ord", "bigint"), ("mbucket", "int"), ("sketch", "array<bigint>"))],
-            "items",
-        )
+        return self._asked(cells.select(*self._place(F.xxhash64("cell")), F.col("cell").alias("item")), CELL, told)
 
     def kept(self, records: DataFrame) -> DataFrame:
         """What is told of kept records (key, ord, mbucket, sketch), a row per band key."""
-        return self._keyed(records.withColumn("page", F.pmod("ord", F.lit(SALTS)).cast("int")), True)
+        salt = F.pmod("ord", F.lit(SALTS)).cast("int")
+        return records.select(
+            F.lit(KEPT).alias("kind"), F.lit(True).alias("told"), *self._place(F.xxhash64("key", salt)), F.col("key").alias("item"),
+            "ord", "mbucket", "sketch", F.lit(None).cast("binary").alias("items"),
+        )
 
     def resembling(self, keys: DataFrame) -> DataFrame:
         """Requests for the kept records under (key)."""
-        salted = keys.distinct().withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        empty = {"ord": F.lit(None).cast("bigint"), "mbucket": F.lit(None).cast("int"), "sketch": F.lit(None).cast("array<bigint>")}
-        return self._keyed(salted.withColumns(empty), False)
+        salted = keys.distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return self._asked(salted.select(*self._place(F.xxhash64("key", "salt")), F.col("key").alias("item")), KEPT, False)
+
+    def _place(self, mixed: Column) -> list[Column]:
+        return [
+            F.pmod(mixed, F.lit(self.buckets)).cast("int").alias("bucket"),
+            F.pmod(F.shiftright(mixed, 32), F.lit(self.pages)).cast("int").alias("page"),
+        ]
 
-    def _keyed(self, rows: DataFrame, told: bool) -> DataFrame:
-        return rows.select(
-            F.lit(KEPT).alias("kind"),
+    def _asked(self, rows: DataFrame, kind: str, told: bool) -> DataFrame:
+        return rows.mapInArrow(_packed, "bucket int, page int, items binary").select(
+            F.lit(kind).alias("kind"),
             F.lit(told).alias("told"),
-            F.pmod(F.xxhash64("key", "page"), F.lit(self.buckets)).cast("int").alias("bucket"),
+            "bucket",
             "page",
-            F.col("key").alias("item"),
-            "ord", "mbucket", "sketch",
-            F.lit(None).cast("binary").alias("items"),
+            *[F.lit(None).cast(t).alias(c) for c, t in (("item", "bigint"), ("ord", "bigint"), ("mbucket", "int"), ("sketch", "array<bigint>"))],
+            "items",
         )
 
     def answers(self, requests: DataFrame, run: str) -> DataFrame:

@@ -56,3 +56,14 @@ def test_cells_travel_packed(spark, tmp_path):
     memory = BatchMemory(spark, str(tmp_path / "memory"), buckets=2, pages=2, partitions=2)
     many = spark.range(20_000).select((F.col("id") * 7919 - 5).alias("cell")).coalesce(1)
     assert memory.cells(many, True).count() == 4
+
+
+def test_many_band_keys_are_looked_up_together(spark, tmp_path):
+    """Lookups grow with pages, not with the keys asked for or the records told of."""
+    folder, keys = str(tmp_path / "memory"), range(2000)
+    kept = [(k, 5 * k + i, -1, [k, i]) for k in keys for i in range(2)]
+    _, found, pages, _ = _run(spark, folder, "0", [], [], kept, [*keys, *range(10_000, 15_000)])
+    assert len(found) == len(kept) and pages <= 4 * 8
+    _, found, pages, _ = _run(spark, folder, "1", [], [], kept[:1], range(0, 20_000, 2))
+    assert found == sorted((k, o, m, tuple(s)) for k, o, m, s in kept if k % 2 == 0)
+    assert pages <= 4 * 8 + len(kept) // PAGE + 4 * 8
