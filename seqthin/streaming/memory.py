@@ -225,7 +225,9 @@ class BatchMemory:
             F.lit(told).alias("told"),
             "bucket",
             "page",
-            *[F.lit(None).cast(t).alias(c) for c, t in (("item", "bigint"), ("ord", "bigint"), ("mbucket", "int"), ("sketch", "array<bigint>"))],
+            # Not null: numbers beside a null would come to Python as floats, and band keys have 64 bits.
+            *[F.lit(0).cast(t).alias(c) for c, t in (("item", "bigint"), ("ord", "bigint"), ("mbucket", "int"))],
+            F.lit(None).cast("array<bigint>").alias("sketch"),
             "items",
         )
 
